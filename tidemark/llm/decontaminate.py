@@ -43,9 +43,10 @@ def words_of(text: str | Column) -> Column:
 
 
 def shingles_of(words: Column, k: int) -> Column:
-    """Hashes of the runs of k words; none if there are fewer."""
+    """Hashes of the runs of k words; none if there are fewer. Words are taken one by one: slice() copies the whole array."""
     n = F.size(words) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def simhash(shingles: Column) -> Column:
@@ -85,6 +86,13 @@ def _items(benchmark: DataFrame, k: int, exact: bool) -> DataFrame:
     return staged(made.withColumn("fp", simhash(F.col("sh"))), "items")
 
 
+def _shingled(docs: DataFrame, k: int, *more: str) -> DataFrame:
+    """id_, sh and more columns. The row number, which is not deterministic, keeps the optimizer from pushing
+    conditions on shingles below the split into words: that would put the split inside the loop over shingles."""
+    words = docs.select("id_", words_of("text_").alias("w"), F.monotonically_increasing_id().alias("row_"), *more)
+    return words.select("id_", F.when(F.col("row_") >= 0, shingles_of(F.col("w"), k)).alias("sh"), *more)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """<id_col>, item_id, similarity, windows: each document and item with a window that matches."""
     docs = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
@@ -107,14 +115,14 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, threshold: float, radius
     keys = items.select("item_id", "m", F.explode(F.array_distinct("sh")).alias("h"))
 
     # 1. Positions with an item's shingle, and from them the starts of the windows that hold enough.
-    at = docs.select("id_", words_of("text_").alias("w")).select("id_", F.posexplode(shingles_of(F.col("w"), k)).alias("pos", "h"))
+    at = _shingled(docs, k).select("id_", F.posexplode_outer("sh").alias("pos", "h"))
     hits = at.join(small(keys), "h").groupBy("id_", "item_id", "m").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     hits = staged(hits.filter(F.size("p") >= F.ceil(F.lit(threshold) * F.col("m") - 1e-9)), "hits")
     n = hits.agg(F.sum(F.size("p"))).first()[0] or 0
     by_doc = hits.groupBy("id_").agg(F.collect_list(F.struct("item_id", "m", "p")).alias("items"))
     by_doc = F.broadcast(by_doc) if n <= SMALL_HITS else by_doc
-    near = docs.join(by_doc, docs.id_.eqNullSafe(by_doc.id_)).select(docs.id_, words_of("text_").alias("w"), "items")
-    near = near.select("id_", shingles_of(F.col("w"), k).alias("sh"), "items").select("id_", "sh", F.size("sh").alias("n"), F.inline("items"))
+    near = _shingled(docs.join(by_doc, docs.id_.eqNullSafe(by_doc.id_)).select(docs.id_, "text_", "items"), k, "items")
+    near = near.select("id_", "sh", F.size("sh").alias("n"), F.inline("items"))
     wide = F.least("m", "n")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + wide) - 1e-9).cast("int")
     first, last = F.lit(0), F.col("n") - wide
@@ -128,14 +136,14 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, threshold: float, radius
     starts = F.filter(starts, lambda s: s.isNotNull() & (s[0] <= s[1]))
     near = near.withColumn("wide", wide).withColumn("starts", F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s[0], s[1])))))
     cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("sh", s + 1, F.col("wide")).alias("win")))
-    windows = near.filter((F.size("starts") > 0) & (F.size("sh") > 0)).select("id_", "m", F.inline(cut))
+    windows = near.filter(F.size("starts") > 0).select("id_", "m", F.inline_outer(cut))
     windows = staged(windows.dropDuplicates(["id_", "m", "start", "win"]), "windows")
 
     # 2. All pairs of fingerprints within the radius.
     windows = windows.withColumn("fp", simhash(F.col("win"))).withColumn("blocks", block_values(F.col("fp"), radius))
-    windows = windows.select("*", F.posexplode("blocks").alias("block", "bits"))
+    windows = windows.select("*", F.posexplode_outer("blocks").alias("block", "bits"))
     other = items.select("item_id", "m", F.col("sh").alias("item_sh"), F.col("fp").alias("item_fp"))
-    other = other.withColumn("item_blocks", block_values(F.col("item_fp"), radius)).select("*", F.posexplode("item_blocks").alias("block", "bits"))
+    other = other.withColumn("item_blocks", block_values(F.col("item_fp"), radius)).select("*", F.posexplode_outer("item_blocks").alias("block", "bits"))
     pairs = windows.join(small(other), ["m", "block", "bits"])
     once = F.col("block") == F.array_position(F.zip_with("blocks", "item_blocks", lambda a, b: a == b), True) - 1
     pairs = pairs.filter(once & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius))

@@ -214,16 +214,24 @@ class Field:
         return self.emit[rows].sum(axis=0) if rows else np.zeros(len(TAGS))
 
     def _proof(self) -> float:
-        """An upper bound of what a word without digit and @ can gain by a tag other than O."""
+        """An upper bound of what tags other than O can gain in a line whose words have neither digit nor @.
+
+        ``gain`` bounds a place by tag over all shapes of such words and of their neighbours; the best
+        stretch of tags is then found by relaxation, as a longest path that must not grow.
+        """
         forms = [shape(w) for w in ("word", "...", "a-b")]
         own = [self._sum([f"0{x}" for x in f]) for f in forms]
         before = [self._sum([f"-{x}" for x in f]) for f in forms] + [self.edge_before]
         after = [self._sum([f"+{x}" for x in f]) for f in forms] + [self.edge_after]
-        most = lambda vs: max(float((v[1:] - v[0]).max()) for v in vs)
-        moves = self.step - self.step[0, 0]
-        enter = max(float(np.where(np.isfinite(moves), moves, -1e9).max()), float((self.begin - self.begin[0]).max()))
-        leave = float((self.step[:, 0] - self.step[0, 0]).max())
-        return most(own) + most(before) + most(after) + max(enter, 0) + max(leave, 0)
+        gain = sum(np.max([v - v[0] for v in vs], axis=0) for vs in (own, before, after))
+        move = self.step - self.step[0, 0]
+        best = np.maximum(move[0], self.begin - self.begin[0]) + gain
+        for _ in range(4 * len(TAGS)):
+            longer = np.maximum(best[1:], (best[1:, None] + move[1:, 1:]).max(axis=0) + gain[1:])
+            if np.array_equal(longer, best[1:]):
+                return float((best[1:] + np.maximum(move[1:, 0], 0)).max())
+            best[1:] = longer
+        return np.inf
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores, places by tags."""
@@ -336,6 +344,20 @@ def trained() -> Field:
     return train(labelled_lines())
 
 
+def plausible(kind: str, text: str) -> bool:
+    """Whether a span of the field can be of its kind at all, by the numbers that the patterns go by too."""
+    digits = "".join(_DIGIT.findall(text))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    if kind == "ip":
+        parts = text.split(".")
+        return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in parts)
+    name, _, host = text.partition("@")
+    return bool(name and host)
+
+
 def added_spans(lines: list[tuple[int, str]], field: Field) -> list[list[tuple[str, int, int]]]:
     """Spans of the field in each line, given as (offset, text)."""
     words = [[(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)] for _, text in lines]
@@ -352,7 +374,7 @@ def added_spans(lines: list[tuple[int, str]], field: Field) -> list[list[tuple[s
                     a += 1
                 while b > a and text[b - 1] in _EDGE:
                     b -= 1
-                if a < b:
+                if a < b and plausible(kind, text[a:b]):
                     spans.append((kind, offset + a, offset + b))
                 k = j
             else:

@@ -97,13 +97,13 @@ def links(nodes: DataFrame, full: int = FULL) -> DataFrame:
     short = shared.filter(F.col("n") <= full).groupBy("key", "val").agg(F.collect_list("fp").alias("fps"))
     near = lambda x, y: (x > y) & (shared_bytes(x, y) >= MIN_SHARED) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)
     stars = F.transform("fps", lambda x: F.struct(x.alias("a"), F.filter("fps", lambda y: near(x, y)).alias("bs")))
-    pairs = short.select(F.inline(stars)).select("a", F.explode("bs").alias("b"))
+    pairs = short.select(F.inline_outer(stars)).select("a", F.explode("bs").alias("b"))
 
     flips = F.array(*[F.lit(_signed(f)) for f in [0, *(1 << b for b in range(64))]])
     other = F.element_at(F.array(*[F.lit(o) for _, o in masks]), F.col("key") + 1)
     reach = F.filter(flips, lambda f: f.bitwiseAND(F.col("rest")) == f)
     hubs = shared.filter(F.col("n") > full).withColumn("rest", other)
-    hubs = hubs.select("key", "fp", F.explode(F.transform(reach, lambda f: F.col("fp").bitwiseXOR(f))).alias("hub"))
+    hubs = hubs.select("key", "fp", F.explode_outer(F.transform(reach, lambda f: F.col("fp").bitwiseXOR(f))).alias("hub"))
     hubs = hubs.groupBy("key", "hub").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     stars = hubs.select("b", F.explode("fps").alias("a")).filter("a > b").select("a", "b")
     return pairs.unionByName(stars).distinct()
