@@ -228,22 +228,22 @@ def cascade_fallback(spark, sf_dir):
     )
 
 
-NAMESPACES = ["src/Steel/Brass.php", "lib/red/blue/green.php", "app/small/plated/tin.php"]
+NAMESPACES = ["src/Red/Widget.php", "lib/small/ring/economy.php", "app/blue/bolt/promo.php"]
 _HAS = lambda *ws: "(" + " + ".join(f"contains(lower(name), '{w}')::INT" for w in ws) + ") >= 2"
 
 
-@query(f"SELECT DISTINCT p_partkey || '/' || p_name || ' ' || p_type || '::test' AS test FROM (SELECT *, p_partkey || '/' || p_name || ' ' || p_type AS name FROM part) WHERE {_HAS('steel', 'brass')} OR {_HAS('red', 'blue', 'green')} OR {_HAS('small', 'plated', 'tin')}")
+@query(f"SELECT DISTINCT p_partkey || '/' || p_name || ' ' || p_type || '::test' AS test FROM (SELECT *, p_partkey || '/' || p_name || ' ' || p_type AS name FROM part) WHERE {_HAS('red', 'widget')} OR {_HAS('small', 'ring', 'economy')} OR {_HAS('blue', 'bolt', 'promo')}")
 def namespace_match_two_components(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     tests = part.select(F.concat(F.col("p_partkey").cast("string"), F.lit("/"), "p_name", F.lit(" "), "p_type", F.lit("::test")).alias("test"))
     return selection.by_namespace(tests, spark.createDataFrame([(p,) for p in NAMESPACES], "path string"))
 
 
-@query("SELECT DISTINCT p_brand || chr(92) || replace(p_type, ' ', chr(92)) AS name FROM part WHERE split_part(p_type, ' ', -1) IN ('TIN', 'BRASS', 'tin', 'brass') UNION SELECT 'A' || chr(92) || 'B'")
+@query("SELECT DISTINCT p_brand || chr(92) || replace(p_type, ' ', chr(92)) AS name FROM part WHERE split_part(p_type, ' ', -1) IN ('PROMO', 'SMALL') UNION SELECT 'A' || chr(92) || 'B'")
 def short_to_full_names(spark, sf_dir):
     name = F.concat("p_brand", F.lit("\\"), F.translate("p_type", " ", "\\"))
     index = table(spark, sf_dir, "part").select(name.alias("class_name")).distinct()
-    return graph.full_names(spark.createDataFrame([("A\\B",), ("TIN",), ("BRASS",), ("tin",), ("brass",)], "name string"), index)
+    return graph.full_names(spark.createDataFrame([("A\\B",), ("PROMO",), ("SMALL",)], "name string"), index)
 
 
 # ---- changes ----
