@@ -124,7 +124,7 @@ def test_kd_shards(spark):
     for part in by.values():
         assert sorted(r.slot for r in part) == list(range(len(part)))
         assert abs(sum(r.size for r in part) - total / 16) <= big + total / 16 * 0.05
-    assert {r.shard for r in kdtree.kd_shards(docs_of(spark, texts), target_bytes=total // 5).collect()} == set(range(6))
+    assert {r.shard for r in kdtree.kd_shards(docs_of(spark, texts), target_bytes=total // 5).collect()} == set(range(-(-total // (total // 5))))
     assert kdtree.kd_shards(docs_of(spark, []), shards=16).count() == 0
 
 
