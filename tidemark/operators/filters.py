@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import patterns
 
 # Folders that are never scanned, and what marks a test file.
-SKIPPED = ("vendor", "node_modules", ".git", "cache", "var", ".diffalyzer")
+SKIPPED = ("vendor", "node_modules", ".git", "cache", "var", ".tidemark")
 TEST_FOLDERS = ("tests/", "test/", "Tests/", "Test/")
-NOT_TESTS = ("/fixtures?/", "/Fixtures?/", "/helpers?/", "/Helpers?/", "bootstrap\\.php$", "TestCase\\.php$", "/stubs?/", "/Stubs?/")
+NOT_TESTS = ("[Ff]ixtures?", "_support", "bootstrap\\.php$", "_bootstrap\\.php$", "TestCase\\.php$", "AbstractTest", "TestHelper\\.php$", "helpers?")
 
 
 def has_suffix(path: Column, suffix: str = ".php") -> Column:
