@@ -6,11 +6,10 @@ a batch at a time; each file is parsed by itself and memory is bounded by a batc
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import facts as parse
@@ -47,9 +46,14 @@ def declared(facts: DataFrame) -> DataFrame:
     return facts.filter("kind = 'declared'").select("path", "ord", "name")
 
 
-@F.pandas_udf("string")
-def _normal(paths: pd.Series) -> pd.Series:
-    return paths.map(posixpath.normpath)
+def _normal(path: Column) -> Column:
+    """A relative path without empty, ``.`` and, where there is a folder to leave, ``..`` segments."""
+
+    def step(done: Column, part: Column) -> Column:
+        leaves = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        return F.when(part.isin("", "."), done).when(leaves, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def resolved_includes(facts: DataFrame, files: DataFrame, root: str) -> DataFrame:
