@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import patterns
-from tidemark.operators import changes, filters, formatters, graph, selection
+from tidemark.operators import changes, extraction, filters, formatters, graph, selection
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str]] = {}
@@ -119,6 +119,39 @@ def method_to_file_output(spark, sf_dir):
     return items.agg(F.count(F.lit(1)).alias("n")).crossJoin(formatters.format_plain(items))  # single rows
 
 
+# ---- extraction from source text: one class for each order, one import and one method for each line item ----
+
+
+def order_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, ord, code: generated source files. An order has few lines, so a file is small."""
+    line = F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.min("l_suppkey").alias("supplier"))
+    uses = F.transform("lines", lambda x: F.format_string("use Parts\\P%d as L%d;\n", x["part"], x["l_linenumber"]))
+    methods = F.transform("lines", lambda x: F.format_string("    function m%d()\n    {\n        return L%d::make();\n    }\n", x["l_linenumber"], x["l_linenumber"]))
+    code = F.concat(F.lit("<?php\nnamespace Shop;\n"), F.array_join(uses, ""), F.format_string("class O%d extends \\S%d\n{\n", "l_orderkey", "supplier"), F.array_join(methods, ""), F.lit("}\n"))
+    return orders.select(F.format_string("O%d.php", "l_orderkey").alias("path"), F.col("l_orderkey").alias("ord"), code.alias("code"))
+
+
+@query(r"""SELECT 'O' || l_orderkey || '.php' AS path, 'declared' AS kind, 'Shop\O' || l_orderkey AS name FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT 'O' || l_orderkey || '.php', 'extends', 'S' || min(l_suppkey) FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT DISTINCT 'O' || l_orderkey || '.php', 'use', 'Parts\P' || l_partkey FROM lineitem
+UNION ALL SELECT DISTINCT 'O' || l_orderkey || '.php', 'static', 'L' || l_linenumber FROM lineitem""")
+def source_facts(spark, sf_dir):
+    return extraction.extract_facts(order_sources(spark, sf_dir)).select("path", "kind", "name")
+
+
+@query(r"""SELECT 'Shop\O' || l_orderkey || '::m' || l_linenumber AS caller, 'Parts\P' || max(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) || 'L' || l_linenumber || '::make' AS callee FROM lineitem""")
+def source_calls(spark, sf_dir):
+    """An alias is also taken as part of the name it stands for; of equal aliases the last import holds."""
+    return extraction.extract_calls(order_sources(spark, sf_dir)).select("caller", "callee")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS k FROM lineitem)
+SELECT 'O' || l_orderkey || '.php' AS path, CAST(n + 5 + 4 * k + d AS INTEGER) AS line, 'O' || l_orderkey || '::m' || l_linenumber AS method FROM l, (VALUES (0), (1), (2)) AS v(d)""")
+def source_method_lines(spark, sf_dir):
+    return extraction.extract_method_lines(order_sources(spark, sf_dir)).select("path", "line", "method")
+
+
 # ---- filters and patterns ----
 
 
