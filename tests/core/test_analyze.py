@@ -51,6 +51,7 @@ def test_scan(spark, repo):
 def test_graph_and_includes(spark, repo):
     g = build_graph(spark, repo.path)
     assert ("src/_part.php", "src/User.php") in rows(g.dependencies, "path", "dep_name")
+    assert rows(build_graph(spark, repo.path, parser="ast").edges, "dependency", "dependent") == rows(g.edges, "dependency", "dependent")
     assert "src/_part.php" not in [d for _, d in rows(g.edges.filter("dependency = 'src/User.php'"), "dependency", "dependent")]  # includes do not propagate
     seeds = spark.createDataFrame([("src/User.php",), ("unknown.php",)], "node string")
     assert [n for (n,) in rows(graph.affected(seeds, g.edges), "node")] == ["src/Collector.php", "src/Service.php", "src/User.php", "tests/UserTest.php", "unknown.php"]

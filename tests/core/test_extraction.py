@@ -1,5 +1,6 @@
 import pytest
 
+from tidemark.functions import syntax
 from tidemark.functions.facts import calls, facts, method_lines
 from tidemark.functions.tokens import kinds, tokenize
 
@@ -72,3 +73,32 @@ class A {
 def test_lines():
     source = "<?php\nclass A\n{\n    function f()\n    {\n        $a = 1;\n\n        return $a;\n    }\n    public $p;\n    function g() { }\n}\n"
     assert dict(method_lines(source)) == {4: "A::f", 5: "A::f", 6: "A::f", 8: "A::f", 11: "A::g"}
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("namespace App; use Foo\\Bar, Baz\\Qux as Q; use T\\{A, B as C, In\\D}; use function a\\f;", {"use": ["Foo\\Bar", "Baz\\Qux", "T\\A", "T\\B", "T\\In\\D", "a\\f"]}),
+        ("namespace N; class A extends Bar implements BI, \\X\\CI { use T1, In\\T2; }", {"declared": ["N\\A"], "extends": ["Bar"], "implements": ["BI", "X\\CI"], "trait": ["T1", "N\\In\\T2"]}),
+        ("interface I extends J, K {} trait T { use U; function f() { $g = function () use ($x) {}; } use V; }", {"declared": ["I", "T"], "extends": ["J", "K"], "trait": ["U", "V"]}),
+        ("$a = [A::class => B::class]; A::X; A::$p; B::f(); self::g(); static::h();", {"static": ["B", "self", "static"]}),
+        ("new Bar(); new self; new static(); new class extends Base { use T; }; new $x;", {"new": ["Bar", "self", "static"], "extends": ["Base"], "trait": ["T"]}),
+        ("$foo->bar(); $this->x->y(); $v->p; $w?->q(); A::$s->m();", {"var": ["foo"]}),
+        ("enum Suit implements HasLabel { case A; } class After {}", {"declared": ["After"]}),
+        ("namespace { class Foo {} }", {"declared": ["Foo"]}),
+        ("class A { function f() { return \"{$this->x} y\"; } use T; }", {"declared": ["A"], "trait": ["T"]}),
+        ("include 'a.php'; require_once('b.php'); include 'c' . 'd'; include __DIR__ . '/e';", {"include": ["a.php", "b.php"]}),
+        ("use A\\B /* c */; // d", {"use": ["A\\B"]}),
+        ("class A { function f( {", {}),
+    ],
+)
+def test_syntax_facts(source, expected):
+    got: dict = {}
+    for kind, name in syntax.facts("<?php " + source):
+        got.setdefault(kind, []).append(name)
+    assert got == expected
+
+
+@pytest.mark.parametrize("source", ODD)
+def test_syntax_on_odd_texts(source):
+    syntax.facts(source)

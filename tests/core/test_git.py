@@ -16,7 +16,7 @@ def test_hunks():
     assert git.parse_hunks(diff) == [("x.php", 3, 1), ("x.php", 9, 0), ("x.php", 12, 4)]
 
 
-def test_repository(tmp_path):
+def test_repository(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=tmp_path, check=True, capture_output=True)
     run("init", "-q")
     (tmp_path / "a.php").write_text("1\n2\n3\n")
@@ -28,3 +28,8 @@ def test_repository(tmp_path):
     assert git.parse_hunks(git._run(git.hunks_command(), str(tmp_path))) == [("a.php", 2, 1)]
     with pytest.raises(RuntimeError):
         git._run(git.names_command("no-such-ref"), str(tmp_path))
+    (tmp_path / "new.php").write_text("x")
+    project = spark.createDataFrame([("a.php",), ("new.php",), ("other.php",)], "path string")
+    assert sorted(r.path for r in git.php_changes_or_all(spark, str(tmp_path), project).collect()) == ["a.php", "new.php"]
+    (tmp_path / ".git" / "HEAD").unlink()
+    assert git.php_changes_or_all(spark, str(tmp_path), project).count() == 3

@@ -10,7 +10,7 @@ import re
 from typing import NamedTuple
 
 # Kinds of the tokens that extraction looks at; all other named tokens are OTHER.
-BLANK, COMMENT, NAME, QUALIFIED, ABSOLUTE, SEPARATOR, VARIABLE, STRING, OTHER = "w", "c", "n", "q", "Q", "b", "v", "E", "z"
+BLANK, COMMENT, NAME, QUALIFIED, ABSOLUTE, SEPARATOR, VARIABLE, STRING, EMBED, OTHER = "w", "c", "n", "q", "Q", "b", "v", "E", "y", "z"
 KEYWORDS = {"namespace": "N", "use": "U", "class": "C", "interface": "I", "trait": "T", "extends": "X", "implements": "M", "new": "W", "include": "i", "include_once": "i", "require": "i", "require_once": "i", "as": "A", "function": "F", "const": "K"}
 STATIC_OP, MEMBER_OP = "D", "O"
 # Words of the language that are no names.
@@ -145,7 +145,7 @@ class _Lexer:
             elif m["text"]:
                 self.put(OTHER, m["text"])
             elif m["curly"]:
-                self.put(OTHER, m["curly"])
+                self.put(EMBED, m["curly"])
                 if m["curly"] == "${" and (named := _VARNAME.match(self.source, self.at)):
                     self.put(OTHER, named[0])
                 self.script("}")

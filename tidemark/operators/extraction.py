@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import facts as parse
+from tidemark.functions import syntax
 
 
 def _each(files: DataFrame, rows: Callable[[str], list[tuple]], columns: dict[str, str]) -> DataFrame:
@@ -27,9 +28,13 @@ def _each(files: DataFrame, rows: Callable[[str], list[tuple]], columns: dict[st
     return files.select("path", "ord", "code").mapInPandas(run, schema)
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
-    """path, ord, kind, name, pos."""
-    return _each(files, parse.facts, {"kind": "string", "name": "string"})
+#: Parsers by name: a plain token scan, or facts as a syntax tree gives them.
+PARSERS = {"token": parse.facts, "ast": syntax.facts}
+
+
+def extract_facts(files: DataFrame, parser: str = "token") -> DataFrame:
+    """path, ord, kind, name, pos. A parser of an unknown name is the token scan."""
+    return _each(files, PARSERS.get(parser.lower(), parse.facts), {"kind": "string", "name": "string"})
 
 
 def extract_calls(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import class_of, is_runnable_test, is_test_class, short_name
+from tidemark.operators.graph import methods_to_files
 
 # The characters that the quoting function of the reference language escapes.
 _QUOTED = r"([.\\+*?\[\^\]$(){}=!<>|:\-#/])"
@@ -54,6 +55,11 @@ def format_phpunit_methods(methods: DataFrame, full_scan: bool = False) -> DataF
     return names.select(F.when(F.col("n") > 0, F.concat(F.lit("--filter "), _filter_text(F.col("out"), F.col("n")))).otherwise("").alias("out"))
 
 
+def format_file_methods(methods: DataFrame, index: DataFrame, full_scan: bool = False) -> DataFrame:
+    """out: file::method of each method whose class has a file, with blanks between; for analysers."""
+    return format_plain(methods_to_files(methods, index), full_scan)
+
+
 def formatter(name: str):
     """The formatter of an output format."""
     if name not in FORMATS:

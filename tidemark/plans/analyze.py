@@ -39,6 +39,7 @@ class Options:
     config: str | None = None
     file_level: bool = False
     strategy: str = "conservative"
+    parser: str = "token"
 
     def checked(self) -> Options:
         if self.output not in OUTPUTS:
@@ -73,17 +74,17 @@ def _relations(facts: DataFrame, all_files: DataFrame, root: str, strategy: str)
     return extraction.declared(facts), deps
 
 
-def build_graph(spark: SparkSession, root: str, store: Store | None = None, strategy: str = "conservative") -> Graph:
+def build_graph(spark: SparkSession, root: str, store: Store | None = None, strategy: str = "conservative", parser: str = "token") -> Graph:
     """The graph of all files. With a store, files that kept time and size since the last run are not parsed again.
 
-    The store does not note the strategy: a graph of another one is used as it is (compatible).
+    The store does not note strategy and parser: a graph of others is used as it is (compatible).
     """
     source = files.source_files(spark, root)
     current = staged(source.select("path", "ord", "mtime", "size"), "files")
     total = current.count()
     old = store.load() if store else None
     if old is None:
-        facts = staged(extraction.extract_facts(source), "facts")
+        facts = staged(extraction.extract_facts(source, parser), "facts")
         declared, deps = _relations(facts, current, root, strategy)
         index, parsed = graph.class_index(declared), total
         registry = current.select("path", "mtime", "size")
@@ -92,7 +93,7 @@ def build_graph(spark: SparkSession, root: str, store: Store | None = None, stra
         changed = diff.filter("status <> 'deleted'").select("path")
         if diff.isEmpty():
             return Graph(current, old["declared"], old["index"], old["dependencies"], changes.cache_stats(0, total))
-        facts = staged(extraction.extract_facts(source.join(changed, "path", "left_semi")), "facts")
+        facts = staged(extraction.extract_facts(source.join(changed, "path", "left_semi"), parser), "facts")
         fresh_declared, fresh_deps = _relations(facts, current, root, strategy)
         was = changes.prune(old["declared"], current)
         before = was.join(changed, "path", "left_semi").select("name")
@@ -158,7 +159,7 @@ def analyze(spark: SparkSession, root: str, options: Options | None = None, stor
         store = Store(spark, os.path.join(root, ".tidemark", "graph"))
     if store and said.clear_cache:
         store.clear()
-    built = build_graph(spark, root, store if said.cache else None, said.strategy)
+    built = build_graph(spark, root, store if said.cache else None, said.strategy, said.parser)
     log.info("graph: %s", built.stats)
     by_file = formatters.formatter(said.output)
     custom = {"custom": said.test_pattern} if said.output == "phpunit" else {}

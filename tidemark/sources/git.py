@@ -55,3 +55,13 @@ def changed_files(spark: SparkSession, root: str, since: str | None = None, unti
 
 def changed_hunks(spark: SparkSession, root: str, since: str | None = None, until: str | None = None, staged: bool = False) -> DataFrame:
     return spark.createDataFrame(parse_hunks(_run(hunks_command(since, until, staged), root)), "path string, start int, cnt int")
+
+
+def php_changes_or_all(spark: SparkSession, root: str, project: DataFrame) -> DataFrame:
+    """path: PHP files that differ from HEAD (added, copied, modified) or are not tracked; all of the project if git fails."""
+    try:
+        said = _run(["git", "diff", "--name-only", "--diff-filter=ACM", "HEAD"], root) + "\n" + _run(["git", "ls-files", "--others", "--exclude-standard"], root)
+    except (RuntimeError, OSError):
+        return project.select("path")
+    names = dict.fromkeys(x.strip() for x in said.split("\n") if x.strip().endswith(".php"))
+    return spark.createDataFrame([(n,) for n in names], "path string").join(project.select("path"), "path", "left_semi")
