@@ -13,6 +13,12 @@ from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html, kdtree, pi
 from tidemark.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hash_ string"
+#: Further columns with names that the operators use inside.
+CLASHING = ("id_", "text_", "sha", "keep", "mark", "bad", "digest", "fp", "root", "h", "p", "item_id", "f")
+
+
+def with_clashes(df):
+    return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
 ODD = [None, "", " ", "\n\t ", "a", "a b", "x y z", "x  y\tz", "Ünï cödé — ¿qué?", "word " * 3000, "q" * 20000]
 
 
@@ -80,6 +86,27 @@ def test_simhash_components(spark):
     assert simhash.near_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_stages_leave_odd_columns_and_ids_alone(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    texts = [item, "other words " + item, "a b c", "a  b c", None, "", "fox " * 9, "hen " * 9]
+    ids = [1, 2, 3, 4, 5, 6, None, None]
+    docs = with_clashes(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    order = lambda rows: sorted(rows, key=str)
+    exact, near = exact_dedup.exact_dedup(docs), simhash.near_dedup(docs)
+    clean = decontaminate.decontaminate(docs, bench)
+    assert exact.columns == near.columns == clean.columns == docs.columns
+    assert all(tuple(r)[2:] == tuple(range(len(CLASHING))) for r in exact.union(near).union(clean).collect())
+    assert order((r.doc_id, r.text) for r in exact.collect()) == order([*zip([1, 2, 3, 5], [item, "other words " + item, "a b c", None]), (None, "fox " * 9), (None, "hen " * 9)])
+    assert order((r.doc_id, r.text) for r in clean.collect()) == order(x for x in zip(ids, texts) if x[0] not in (1, 2))
+    assert quality.keep_good(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).columns == docs.columns
+    # Rows without an id and different texts under one id are rows of their own; equal rows are one.
+    assert {(None, "fox " * 9), (None, "hen " * 9)} <= {(r.doc_id, r.text) for r in near.collect()}
+    again = spark.createDataFrame([(5, "fox " * 9), (5, "fox " * 9), (5, "hen " * 9), (6, "hen  " * 9)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.near_dedup(again).collect()) == [(5, "fox " * 9), (5, "hen " * 9)]
+    assert exact_dedup.exact_dedup(again).count() == 2
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 90)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}

@@ -60,6 +60,14 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, rows: int = 512) -> DataFrame:
     """``mapInArrow`` over lists of column values, ``rows`` rows at a time to bound a worker's memory.
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, whole
+from tidemark.llm.common import staged, unused, whole
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 19
 #: Rows up to which a counted table is broadcast; shingles of an item that the lanes of the counters can hold.
@@ -155,6 +155,7 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, threshold: float, radius
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id has no match, with all their columns."""
-    found = staged(contaminated(docs, benchmark, threshold, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("bad_")).distinct(), "contaminated")
+    name = unused(docs, "bad")
+    found = staged(contaminated(docs, benchmark, threshold, id_col=id_col, text_col=text_col).select(F.col(id_col).alias(name)).distinct(), "contaminated")
     bad = F.broadcast(found) if found.count() <= SMALL else found
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, staged, whole
+from tidemark.llm.common import BLANKS, staged, unused, whole
 
 
 def normalised(text: str | Column) -> Column:
@@ -66,14 +66,17 @@ def label_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns. Rows are told apart by id and text."""
     groups = exact_groups(docs, id_col, text_col, hash_of)
-    stay = groups.select(F.col("keep_id").alias("keep_"), F.col("text_sha256").alias("sha_"))
-    rows = docs.withColumn("sha__", F.sha2(normalised(text_col), 256))
+    sha, keep, mark = unused(docs, "sha"), unused(docs, "keep"), unused(docs, "mark")
+    rows = docs.withColumn(sha, F.sha2(normalised(text_col), 256))
     if _clashes(groups) is None:
         # One text a hash: the id and the text's digest name the row.
-        found = rows.join(stay, F.col(id_col).eqNullSafe(F.col("keep_")) & (F.col("sha__") == F.col("sha_")), "left_semi")
+        stay = groups.select(F.col("keep_id").alias(keep), F.col("text_sha256").alias(mark))
+        found = rows.join(stay, F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(sha) == F.col(mark)), "left_semi")
     else:
-        text = docs.select(F.col(id_col).alias("keep_"), normalised(text_col).alias("text_")).groupBy("text_").agg(F.min("keep_").alias("keep_"))
-        found = rows.join(text, F.col(id_col).eqNullSafe(F.col("keep_")) & (normalised(text_col) == F.col("text_")), "left_semi")
-    return found.dropDuplicates([id_col, "sha__"]).drop("sha__")
+        texts = docs.select(F.col(id_col).alias("id_"), normalised(text_col).alias("text_"))
+        stay = texts.groupBy("text_").agg(F.min("id_").alias(keep)).withColumnRenamed("text_", mark)
+        found = rows.join(stay, F.col(id_col).eqNullSafe(F.col(keep)) & (normalised(text_col) == F.col(mark)), "left_semi")
+    found = found.dropDuplicates([id_col, sha])
+    return found.drop(sha)

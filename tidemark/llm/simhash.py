@@ -16,7 +16,7 @@ Components come from alternating large and small stars, each round staged in the
 
 Defined results: a null or blank text has fingerprint zero and links like any other; null ids group
 with the rest and are never the smallest id unless all are null; repeated rows come back repeated;
-an empty table gives no rows; other columns are not looked at.
+an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, staged
+from tidemark.llm.common import map_batches, staged, unused, whole
+from tidemark.llm.exact_dedup import content_hash
 
 SEED, SHINGLE, RADIUS, MIN_SHARED = 42, 3, 2, 6
 #: Posting lists of up to so many nodes are paired up; longer ones go by hubs.
@@ -55,14 +56,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """<id_col>, fp: the fingerprint as a signed long."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """<id_col>, fp (the fingerprint as a signed long) and more columns as they are."""
+    schema = ", ".join([f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", "fp bigint", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more)])
 
     def run(cols):
-        return [cols[0], [_signed(fingerprint(t)) for t in cols[1]]]
+        return [cols[0], [_signed(fingerprint(t)) for t in cols[1]], *cols[2:]]
 
-    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp bigint")
+    return map_batches(docs.select(id_col, text_col, *more), run, schema)
 
 
 def _byte(fp: Column, at: int) -> Column:
@@ -128,18 +129,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
+def _members(rows: DataFrame, id_col: str, full: int) -> DataFrame:
+    """fp, root, least: the component of each fingerprint, and its first row as (id is null, id, digest)."""
+    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("digest"))).alias("least")
+    nodes = staged(rows.groupBy("fp").agg(least), "nodes")
+    roots = components(links(nodes, full))
+    return staged(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
+
+
 def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: int = FULL) -> DataFrame:
     """Every row: <id_col>, fp, component_id."""
     rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = components(links(nodes, full))
-    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = staged(member, "members")
-    first = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = _members(rows.withColumn("digest", F.lit(None).cast("binary")), id_col, full)
+    first = member.groupBy("root").agg(F.min("least")["id"].alias("component_id"))
     return rows.join(member.join(first, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: int = FULL) -> DataFrame:
-    """One row of each component, that with its smallest id, with all its columns."""
-    stay = label_near_copies(docs, id_col, text_col, full).groupBy("component_id").agg(F.lit(1)).select(F.col("component_id").alias("keep_"))
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("keep_")), "left_semi").dropDuplicates([id_col])
+    """One row of each component, that with its smallest id, with all its columns.
+
+    Rows are named by their id and the digest of their text, so rows without an id, or with different
+    texts under one id, are told apart; of rows that agree in both one is kept.
+    """
+    digest, keep, mark = unused(docs, "digest"), unused(docs, "keep"), unused(docs, "mark")
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), content_hash(whole(text_col)).alias("digest"))
+    rows = staged(fingerprints(rows, "id_", "text_", "digest"), "fingerprints")
+    first = _members(rows, "id_", full).groupBy("root").agg(F.min("least").alias("least"))
+    stay = first.select(F.col("least")["id"].alias(keep), F.col("least")["digest"].alias(mark))
+    docs = docs.withColumn(digest, content_hash(whole(text_col)))
+    found = docs.join(stay, F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(digest) == F.col(mark)), "left_semi")
+    found = found.dropDuplicates([id_col, digest])
+    return found.drop(digest)
