@@ -68,6 +68,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def ids_repeat(df: DataFrame, id_col: str) -> bool:
+    """Whether any two rows have one id (null ids count as equal). Only ids move."""
+    return not df.groupBy(F.col(id_col).alias("id_")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, rows: int = 512) -> DataFrame:
     """``mapInArrow`` over lists of column values, ``rows`` rows at a time to bound a worker's memory.
 

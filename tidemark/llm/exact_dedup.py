@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, staged, unused, whole
+from tidemark.llm.common import BLANKS, ids_repeat, staged, unused, whole
 
 
 def normalised(text: str | Column) -> Column:
@@ -66,7 +66,7 @@ def label_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """The rows that stay, with all their columns. Rows are told apart by id and text."""
+    """The rows that stay, with all their columns. Rows are told apart by id and text; only where ids repeat are they compared again."""
     groups = exact_groups(docs, id_col, text_col, hash_of)
     sha, keep, mark = unused(docs, "sha"), unused(docs, "keep"), unused(docs, "mark")
     rows = docs.withColumn(sha, F.sha2(normalised(text_col), 256))
@@ -78,5 +78,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = docs.select(F.col(id_col).alias("id_"), normalised(text_col).alias("text_"))
         stay = texts.groupBy("text_").agg(F.min("id_").alias(keep)).withColumnRenamed("text_", mark)
         found = rows.join(stay, F.col(id_col).eqNullSafe(F.col(keep)) & (normalised(text_col) == F.col(mark)), "left_semi")
-    found = found.dropDuplicates([id_col, sha])
+    if ids_repeat(docs, id_col):
+        found = found.dropDuplicates([id_col, sha])
     return found.drop(sha)

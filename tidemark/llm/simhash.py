@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, staged, unused, whole
+from tidemark.llm.common import ids_repeat, map_batches, staged, unused, whole
 from tidemark.llm.exact_dedup import content_hash
 
 SEED, SHINGLE, RADIUS, MIN_SHARED = 42, 3, 2, 6
@@ -158,5 +158,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = first.select(F.col("least")["id"].alias(keep), F.col("least")["digest"].alias(mark))
     docs = docs.withColumn(digest, content_hash(whole(text_col)))
     found = docs.join(stay, F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(digest) == F.col(mark)), "left_semi")
-    found = found.dropDuplicates([id_col, digest])
+    if ids_repeat(rows, "id_"):
+        found = found.dropDuplicates([id_col, digest])
     return found.drop(digest)
