@@ -276,6 +276,15 @@ def test_decontamination_by_brute_force(spark):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_keeps_clean_rows_of_a_shared_id(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, "x " + item), (None, "fox " * 9), (None, None), (5, item + " y"), (5, "hen " * 9), (5, item + " y"), (6, "cat " * 9)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in decontaminate.decontaminate(docs, bench).collect()), key=str)
+    assert kept == sorted([rows[1], rows[2], rows[4], rows[6]], key=str)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(None, 7), (5, 7)}
+
+
 def test_multi_index_is_complete(spark):
     rng = random.Random(4)
     pairs = []

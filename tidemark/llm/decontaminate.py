@@ -19,8 +19,9 @@ less than one in a thousand such pairs.
 Benchmark tables are broadcast only after their rows were counted (``SMALL``); larger ones, and
 larger sets of candidates, are joined by shuffles.
 
-Defined results: null or empty items and texts match nothing; equal items are matched each; results
-are by id, so rows repeated with one id count as one document; null ids are compared as equal.
+Defined results: null or empty items and texts match nothing; equal items are matched each; the results
+of ``contaminated`` are by id, so rows repeated with one id count as one document and null ids are compared
+as equal; ``decontaminate`` tells rows apart by id and text, so only rows that themselves hold an item go.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, unused, whole
+from tidemark.llm.exact_dedup import content_hash
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 19
 #: Rows up to which a counted table is broadcast; shingles of an item that the lanes of the counters can hold.
@@ -154,8 +156,12 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, threshold: float, radius
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id has no match, with all their columns."""
-    name = unused(docs, "bad")
-    found = staged(contaminated(docs, benchmark, threshold, id_col=id_col, text_col=text_col).select(F.col(id_col).alias(name)).distinct(), "contaminated")
+    """The rows without a match, with all their columns. Rows are told apart by their id and the digest of their text."""
+    digest, bad_id, mark = unused(docs, "digest"), unused(docs, "bad"), unused(docs, "mark")
+    hashed = content_hash(whole(text_col))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), hashed.alias("digest")).alias("row"), F.col(text_col).alias("text"))
+    found = contaminated(rows, benchmark, threshold, id_col="row", text_col="text")
+    found = staged(found.select(F.col("row")["id"].alias(bad_id), F.col("row")["digest"].alias(mark)).distinct(), "contaminated")
     bad = F.broadcast(found) if found.count() <= SMALL else found
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.col(digest) == F.col(mark))
+    return docs.withColumn(digest, hashed).join(bad, same, "left_anti").drop(digest)
