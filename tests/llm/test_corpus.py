@@ -310,3 +310,32 @@ def test_html_layout():
     assert x("<pre>a\n  b</pre>c<br>d") == "a\n  b\n\nc\nd"
     assert x("<div>" * 5000 + "deep") == "deep"
     assert x("a < b <notatag") .startswith("a < b")
+
+
+def test_html_keeps_what_stands_outside_cells():
+    x = html.extract
+    assert x("<table><tr><form><td>x</td></form></tr></table>") == "x"
+    assert x("<table><form><tr><td>a<td>b</tr><tr><td>cc<td>d</tr></form></table>") == "a   b\ncc  d"
+    assert x("<table><tr><form><td>a<td>b</form><td>c</tr></table>") == "a  b  c"
+    assert x("<table><tr><a>x</a></tr></table>") == "x"
+    assert x("<table><tbody>loose<tr>stray <b>bold</b><td>c</td>more</tr>end</tbody></table>") == "loosestray bold\nmore\nend\nc"
+    assert x("<table><tr><td>a</td><table><tr><td>b</td></tr></table></tr></table>") == "a\n\nb"
+    assert x("<table><caption>cap</caption><tr hidden><a>no</a></tr><tr><td>a</table>") == "cap\na"
+    assert x("<table><tr><div><table><tr><td>in</td></tr></table></div><td>out</table>") == "in\n\nout"
+
+
+def test_html_shows_drawings_and_formulas():
+    x = html.extract
+    assert x("a <svg><title>t</title><desc>d</desc><path d='M0'/><text>one</text><text>two<tspan x=1>three</tspan></text></svg> b") == "a\none\ntwo\nthree\nb"
+    assert x("a<svg><desc/><title/><style>p{}</style><g/></svg>b<p>c") == "ab\n\nc"
+    assert x("<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math>") == "x=1 2"
+    assert x("<annotation>shown</annotation>") == "shown"
+
+
+def test_html_quotes_in_tags():
+    x = html.extract
+    assert x("<p title=Bob's>one</p><p>it's > two</p>") == "one\n\nit's > two"
+    assert x("<img alt=Bob's> and <img alt='a>b'> and <img alt = \"c'>\">") == "Bob's and a>b and c'>"
+    assert x("<a title=\"x\"\">said \"so\"</a> end") == 'said "so" end'
+    assert x("<a href=u?q=\"v>w</a> x=\"y\"") == 'w x="y"'
+    assert x("<b title='open>text <i>on</i>") == "text on"

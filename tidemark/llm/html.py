@@ -5,6 +5,8 @@ parts, ``option``), ignores stray end tags and takes scripts and the like as raw
 leaves out what is not shown (``head``, scripts, ``template``, ``hidden``, ``display:none``,
 ``visibility:hidden``), folds white space outside ``pre``, starts a line at each block, sets headings, paragraphs,
 lists and tables off by an empty line, marks list items, and pads table cells so that columns align.
+What a table holds outside its cells comes as lines before its rows, a table opened there after them.
+Texts of ``svg`` and ``math`` are shown, those in ``defs`` or ``symbol`` too, as they may be drawn from elsewhere.
 
 The work is one pass over the rows, without a shuffle; a page is handled alone.
 
@@ -25,8 +27,12 @@ from tidemark.llm.common import map_batches
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noembed noframes iframe object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template title noembed noframes iframe object audio video canvas datalist".split())
+#: Parts of drawings and formulas that are never shown.
+UNSEEN_PARTS = frozenset("desc metadata annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr thead tbody tfoot".split())
+#: Parts of a formula stand side by side or one above the other; a blank keeps their texts apart.
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr".split())
 #: An opening tag closes open tags of the second set, up to a tag of the third.
 CLOSES = {
@@ -49,8 +55,9 @@ IN_HEAD = frozenset("head title meta link base style script noscript template".s
 SCOPE = frozenset("table td th caption html".split())
 DEEP = 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+# A quote opens a value only right after "="; elsewhere, and where none closes it, it is a plain character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))?)?", re.S)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _FOLD = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -88,6 +95,11 @@ def parse(html: str) -> Element:
     def put(node: Element | str) -> None:
         stack[-1].kids.append(node)
 
+    def foreign() -> bool:
+        """Whether a drawing or a formula is open."""
+        inner = next((x.tag for x in reversed(stack) if x.tag in ("svg", "math", "foreignobject")), "")
+        return inner in ("svg", "math")
+
     at = 0
     while at < len(html):
         m = _TOKEN.search(html, at)
@@ -132,6 +144,10 @@ def parse(html: str) -> Element:
             stack[-2].kids.append(stack[-1])
         node = Element(tag, attrs)
         put(node)
+        if tag in UNSEEN_PARTS and foreign():
+            node.attrs["hidden"] = ""
+        if m[3].endswith("/") and tag not in VOID and foreign():
+            continue  # in drawings and formulas a tag can close itself
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
             stop = end.start() if end else len(html)
@@ -152,6 +168,11 @@ def _shown(node: Element) -> bool:
     return not (style and _UNSEEN.search(style))
 
 
+def _own_line(node: Element) -> bool:
+    """Texts of a drawing, and parts of them that are placed anew."""
+    return node.tag == "text" or (node.tag == "tspan" and not node.attrs.keys().isdisjoint(("x", "y", "dy")))
+
+
 class _Out:
     """Lines of text; knows how many line breaks stand open."""
 
@@ -197,31 +218,63 @@ class _Out:
         return "\n".join(x.rstrip(" ") for x in self.lines).strip("\n")
 
 
-def _rows(table: Element) -> tuple[list[Element], list[list[Element]]]:
-    heads, rows = [], []
-    todo = [k for k in table.kids if isinstance(k, Element)]
+def _rows(table: Element) -> tuple[list[Element | str | None], list[Element], list[list[Element]]]:
+    """What stands beside the cells (None: a new line), tables opened outside a cell, and the rows of cells.
+
+    Cells count wherever they are, so also in a form around them.
+    """
+    loose: list[Element | str | None] = []
+    tables: list[Element] = []
+    rows: list[list[Element]] = []
+
+    def walk(kids: list, row: list[Element] | None) -> None:
+        for kid in kids:
+            if isinstance(kid, str):
+                loose.append(kid if kid.strip() else None)
+            elif not _shown(kid):
+                continue
+            elif kid.tag in ("td", "th"):
+                if row is None:
+                    row = []
+                    rows.append(row)
+                row.append(kid)
+                loose.append(None)
+            elif kid.tag == "tr":
+                rows.append([])
+                walk(kid.kids, rows[-1])
+                loose.append(None)
+                row = None
+            elif kid.tag in ("thead", "tbody", "tfoot") or _has_cells(kid):
+                walk(kid.kids, row)
+            elif kid.tag == "table":
+                tables.append(kid)
+            else:
+                loose.append(kid)
+
+    walk(table.kids, None)
+    return loose, tables, rows
+
+
+def _has_cells(node: Element) -> bool:
+    """Whether rows or cells of the table around it are in an element."""
+    todo = [node] if node.tag not in ("table", "caption") else []
     while todo:
-        node = todo.pop(0)
-        if not _shown(node):
-            continue
-        if node.tag == "tr":
-            rows.append([k for k in node.kids if isinstance(k, Element) and k.tag in ("td", "th") and _shown(k)])
-        elif node.tag in ("thead", "tbody", "tfoot"):
-            todo = [k for k in node.kids if isinstance(k, Element)] + todo
-        else:
-            heads.append(node)
-    return heads, rows
+        for kid in todo.pop().kids:
+            if isinstance(kid, Element) and kid.tag not in ("table", "caption"):
+                if kid.tag in ("tr", "td", "th"):
+                    return True
+                todo.append(kid)
+    return False
 
 
 def _table(table: Element, out: _Out, deep: int) -> None:
-    heads, rows = _rows(table)
-    for head in heads:
-        out.brk(1)
-        _render(head, out, False, deep + 1)
-    loose = [k for k in table.kids if isinstance(k, str) and k.strip()]
-    for text in loose:
-        out.brk(1)
-        out.text(text, False)
+    loose, tables, rows = _rows(table)
+    out.brk(1)
+    for x in loose:
+        if x is None:
+            out.brk(1)
+        else:
+            _render(x, out, False, deep + 1)
     grid: list[list[list[str]]] = []
     for row in rows:
         cells: list[list[str]] = []
@@ -242,6 +295,8 @@ def _table(table: Element, out: _Out, deep: int) -> None:
             line = "  ".join((cell[n] if n < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(cells)).rstrip(" ")
             out.brk(1)
             out.text(line, True)
+    for inner in tables:
+        _render(inner, out, False, deep + 1)
 
 
 def _render(node: Element | str, out: _Out, keep: bool, deep: int, mark: list | None = None) -> None:
@@ -257,7 +312,7 @@ def _render(node: Element | str, out: _Out, keep: bool, deep: int, mark: list |
     if tag == "img":
         out.text(node.attrs.get("alt", ""), False)
         return
-    space = 2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and mark is not None) else 1 if tag in BLOCK else 0
+    space = 2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and mark is not None) else 1 if tag in BLOCK or _own_line(node) else 0
     if space:
         out.brk(space)
     if tag == "table":
@@ -289,7 +344,9 @@ def _render(node: Element | str, out: _Out, keep: bool, deep: int, mark: list |
         keep = keep or tag in ("pre", "textarea", "xmp")
         for kid in node.kids:
             _render(kid, out, keep, deep + 1, mark)
-        if tag in ("td", "th"):
+            if tag in APART:
+                out.text(" ", False)
+        if tag in ("td", "th", "mtd"):
             out.text(" ", False)
     if space:
         out.brk(space)
