@@ -155,6 +155,21 @@ def test_kd_shards(spark):
     assert kdtree.kd_shards(docs_of(spark, []), shards=16).count() == 0
 
 
+def test_kd_shards_part_repeated_rows(spark):
+    rng = random.Random(2)
+    texts = ["w" * rng.randrange(1, 60) for _ in range(2000)]
+    rows = [(k, t, "en", "src0", len(t)) for k, t in enumerate(texts)] + [(None, "s" * 30, "en", "src0", 30)] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    by = {}
+    for r in kdtree.kd_shards(docs, shards=8).collect():
+        by.setdefault(r.shard, []).append(r)
+    total = sum(r.size for part in by.values() for r in part)
+    assert sorted(by) == list(range(8)) and sum(map(len, by.values())) == len(rows)
+    for part in by.values():
+        assert sorted(r.slot for r in part) == list(range(len(part)))
+        assert abs(sum(r.size for r in part) - total / 8) <= 60 + total / 8 * 0.05
+
+
 def test_quality_on_held_out(spark):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice("the cat sat on a mat and ran off to see it".split()) for _ in range(80)) + "."

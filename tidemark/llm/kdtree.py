@@ -4,8 +4,9 @@ Each node of the tree is split at the weighted median (by bytes) of its widest d
 leaves reach the target bytes. A node that has to give ``n`` leaves is split in the proportion of
 ``n // 2`` to ``n - n // 2``, so any number of leaves comes out at near equal bytes.
 
-Coordinates are order-preserving longs, below them a hash of the row breaks ties; so a value that a
-third of all rows share is split like any other and only rows equal in every regard cannot be parted.
+Coordinates are order-preserving longs, below them a hash of the row breaks ties, and in its last bits a
+hash of the row's place in the table; so a value that a third of all rows share is split like any other,
+and rows equal in every regard are parted too, into as many pieces as ``REPEAT`` bits tell apart.
 Medians are found by a radix descent: sums of bytes in ``BINS`` equal intervals of each node's range,
 for all nodes of a level at once and summed map-side; the interval with the median is divided again
 until it holds less than ``SLACK`` of a leaf, or a single key. So the driver sees at most
@@ -28,6 +29,8 @@ from tidemark.llm.common import staged, whole
 BINS, SLACK = 2048, 0.001
 #: Bits of a coordinate and of the tie breaker below it.
 COORD, TIE = 31, 31
+#: Bits of the tie breaker that tell repeated rows apart.
+REPEAT = 11
 
 
 @dataclass
@@ -132,7 +135,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         F.crc32(F.encode(text, "UTF-8")).alias("crc"),
         *[c.alias(f"c{k}") for k, c in enumerate(coords)],
     )
-    tie = F.pmod(F.xxhash64("id_", "crc", "size"), F.lit(1 << TIE))
+    tie = F.pmod(F.xxhash64("id_", "crc", "size"), F.lit(1 << (TIE - REPEAT))) * (1 << REPEAT)
+    tie = tie + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << REPEAT))
     meta = staged(meta.withColumn("tie", tie), "shard-meta")
     if shards is None:
         total = meta.agg(F.sum("size")).first()[0] or 0
@@ -143,7 +147,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     # Slots: rows are numbered in buckets of about bucket_rows, and bucket counts are summed up before them.
     n = meta.count()
     buckets = max(1, min(4096, math.ceil(n / shards / bucket_rows)))
-    placed = placed.withColumn("bucket", F.floor(F.col("tie") * buckets / (1 << TIE)).cast("int"))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("tie"), F.lit(buckets)).cast("int"))
     from pyspark.sql import Window
 
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
