@@ -13,8 +13,9 @@ repeats, is at least ``THRESHOLD``.
    within the radius agree in a block; the join on (window size, block, bits) yields all such pairs.
 3. Pairs within the radius are held to the exact similarity of their shingles.
 
-The radius is wide, as a similarity of 0.8 differs in 10 bits of 64 on average: beyond 19 bits lie
-less than one in a thousand such pairs.
+The radius is wide, as a similarity of 0.8 between many different shingles differs in 10 bits of 64 on
+average. It is not lossless: where items are very short, or few shingles make up most of an item or a
+window, more matches lie beyond it (how many was not measured).
 
 Benchmark tables are broadcast only after their rows were counted (``SMALL``); larger ones, and
 larger sets of candidates, are joined by shuffles.
