@@ -79,10 +79,66 @@ def test_simhash_components(spark):
                 lo, hi = sorted((root[a], root[b]))
                 root = [lo if r == hi else r for r in root]
     assert any(root.count(r) > 6 for r in root)
-    for full in (64, 1):
-        got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.label_near_copies(docs_of(spark, texts), full=full).collect()}
-        assert got == {i: (prints[i], root[i]) for i in range(len(texts))}
-    assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()) == sorted(set(root))
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.label_near_copies(docs_of(spark, texts)).collect()}
+    assert got == {i: (prints[i], root[i]) for i in range(len(texts))}
+    assert simhash.label_near_copies(docs_of(spark, [])).count() == 0
+
+
+def test_simhash_links_of_crowded_lists(spark):
+    """Fingerprints that all lie around a few points, so that single lists hold thousands."""
+    rng = random.Random(8)
+    points = {0, (1 << 64) - 1}
+    for _ in range(3):
+        a = rng.getrandbits(64)
+        points |= {a ^ x for x in range(0, 4096, 3)} | {a ^ 1 << i ^ 1 << j for i in range(0, 64, 5) for j in range(64)}
+    have = sorted(points)
+    want, there = {}, set(have)
+    for a in have:
+        for flip in [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]:
+            b = a ^ flip
+            if b in there and simhash._signed(b) < simhash._signed(a):
+                want[simhash._signed(a), simhash._signed(b)] = sum((a ^ b) >> 8 * k & 255 == 0 for k in range(8))
+    got = simhash.links(spark.createDataFrame([(simhash._signed(x),) for x in have], "fp long")).collect()
+    assert {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want) > 10_000
+
+
+def shingle_cosine(a, b, k=5):
+    def sets(t):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").split(" ")
+        w = [x for x in w if x]
+        return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or {tuple(w)}
+
+    a, b = sets(a), sets(b)
+    return len(a & b) / (len(a) * len(b)) ** 0.5
+
+
+def test_near_dedup_against_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6)))
+    texts = [*ODD, "one two three", "One  two\nTHREE", "one two four"]
+    for size in (12, 40, 150, 600):
+        for _ in range(10):
+            base = [word() for _ in range(size)]
+            for _ in range(6):
+                part = list(base)
+                for _ in range(rng.randrange(0, 1 + size // 16)):
+                    part[rng.randrange(size)] = word()
+                texts.append(" ".join(part))
+    hub = [word() for _ in range(80)]  # a large group, most of its rows in the same lists
+    texts += [" ".join([*hub[:k], word(), *hub[k + 1 :]]) for k in range(80) for _ in range(3)]
+    root, true = list(range(len(texts))), []
+    for a in range(len(texts)):
+        for b in range(a):
+            if shingle_cosine(texts[a], texts[b]) >= 0.8 - 1e-9:
+                true.append((a, b))
+                if root[a] != root[b]:
+                    lo, hi = sorted((root[a], root[b]))
+                    root = [lo if r == hi else r for r in root]
+    kept = [r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()]
+    want = {*root}
+    assert len(kept) == len({*kept}) and want <= {*kept}  # nothing that has no copy goes
+    dropped, should = len(texts) - len(kept), len(texts) - len(want)
+    assert dropped >= 0.95 * should and should > 300
     assert simhash.near_dedup(docs_of(spark, [])).count() == 0
 
 

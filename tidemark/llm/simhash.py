@@ -1,26 +1,41 @@
-"""SimHash near-dedup over an inverted index of byte positions.
+"""SimHash near-dedup over an inverted index of byte positions with count filtering.
 
 A fingerprint is eight bytes. Two fingerprints within ``RADIUS`` = 2 bits differ in two bytes at
 most, so they share at least ``MIN_SHARED`` = 6 positional bytes. The posting list of a single
-(position, byte) would hold 1/256 of all rows, so the index is keyed on sets of positions that this
-minimum guarantees: of four blocks of two bytes at least two are untouched, and each of the six
-pairs of blocks is a posting key of four positional bytes. Within a posting list the shared bytes of
-a pair are tallied, pairs below the minimum are dropped, and the Hamming distance is verified.
+(position, byte) would hold 1/256 of all rows, so the index has a list for each set of six positions and
+their bytes (28 sets): two fingerprints stand together in as many lists as they share six bytes, that is in
+1, 7 or 28 for 6, 7 or 8 shared bytes. These common lists are counted for each pair, pairs below the
+guaranteed minimum are dropped, and the Hamming distance is verified.
 
-Copies with one fingerprint are one node from the start. A posting list of more than ``FULL`` nodes
-is not paired up: there each node goes to the 33 hubs that its other four bytes reach with at most
-one flipped bit. Two nodes of the list are within two bits exactly if they share a hub, and a hub has
-33 members at most, so that way is exact and linear in the list's length.
+Copies with one fingerprint are one node from the start, so a list leaves two bytes open and holds 65,536
+nodes at most. Two nodes within two bits agree in two of the four half bytes that are open, so each list is
+dealt to parts of 256 nodes at most by two half bytes, and only nodes of one part are paired up. A node has
+a bounded number of partners within two bits, whatever the size of the table.
 
 Components come from alternating large and small stars, each round staged in the shared folder.
 
+``near_dedup``, the stage of the pipeline, finds copies that are further apart than two of 64 bits. There a fingerprint
+has 64 bytes and is taken over the distinct words of a text; the lists are those of ``WIDE_KEYS`` sets of
+``WIDE_BYTES`` positions, and pairs are verified by their texts: the cosine of their sets of five-word shingles,
+which is the similarity that SimHash stands for, has to be ``SIMILAR`` = 0.8 or more. A pair is found if it shares the
+bytes of a set; README has the share of all such pairs that is, against brute force. Of a list, each node is first
+held to the least one; then nodes outside the list's largest component to all nodes of other components. So
+a list of copies of one text costs work in proportion to its length, and no pair of a list is left undecided.
+
 Defined results: a null or blank text has fingerprint zero and links like any other; null ids group
-with the rest and are never the smallest id unless all are null; repeated rows come back repeated;
-an empty table gives no rows; other columns, whatever their names, are not looked at.
+with the rest and are never the smallest id unless all are null; repeated rows come back repeated (``near_dedup``
+keeps one); texts of any length are read whole, in pieces; an empty table gives no rows; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import random
+import string
+from hashlib import blake2b
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,8 +45,10 @@ from tidemark.llm.common import ids_repeat, map_batches, staged, unused, whole
 from tidemark.llm.exact_dedup import content_hash
 
 SEED, SHINGLE, RADIUS, MIN_SHARED = 42, 3, 2, 6
-#: Posting lists of up to so many nodes are paired up; longer ones go by hubs.
-FULL = 64
+#: The stage: bytes of a fingerprint, sets of positions and their size, words of a shingle, least cosine.
+WIDE, WIDE_KEYS, WIDE_BYTES, WIDE_SHINGLE, SIMILAR = 64, 96, 4, 5, 0.8
+#: Rows up to which a counted table is broadcast.
+SMALL = 200_000
 #: Shingles whose bits are counted at a time.
 CHUNK = 65536
 
@@ -66,48 +83,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(id_col, text_col, *more), run, schema)
 
 
-def _byte(fp: Column, at: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * at).bitwiseAND(F.lit(255))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many positional bytes two fingerprints share."""
-    same = [(_byte(a.bitwiseXOR(b), at) == 0).cast("int") for at in range(8)]
-    total = same[0]
-    for x in same[1:]:
-        total = total + x
-    return total
+def _sets() -> list[tuple[int, tuple[int, ...]]]:
+    """For each set of six positions the mask of its bytes, and the offsets of the four half bytes beside it."""
+    out = []
+    for at in combinations(range(8), MIN_SHARED):
+        mask = sum(0xFF << (8 * k) for k in at)
+        out.append((_signed(mask), tuple(8 * k + half for k in range(8) if k not in at for half in (0, 4))))
+    return out
 
 
-def _masks() -> list[tuple[int, int]]:
-    """For each pair of two-byte blocks, the mask of its bytes and that of the others."""
-    blocks = [0xFFFF << (16 * k) for k in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    every = (1 << 64) - 1
-    return [(_signed(blocks[i] | blocks[j]), _signed(every ^ (blocks[i] | blocks[j]))) for i, j in pairs]
+def links(nodes: DataFrame) -> DataFrame:
+    """Verified links between distinct fingerprints: a > b, shared (positional bytes)."""
+    sets = _sets()
+    postings = nodes.select("fp", F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col("fp").bitwiseAND(F.lit(mask)).alias("val")) for k, (mask, _) in enumerate(sets)])))
+    lists = staged(postings.groupBy("key", "val").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "val"), "lists")
+    shared = postings.join(_small(lists), ["key", "val"])
 
+    def half(which: int) -> Column:
+        offset = F.element_at(F.array(*[F.lit(halves[which]) for _, halves in sets]), F.col("key") + 1)
+        return F.call_function("shiftrightunsigned", F.col("fp"), offset).bitwiseAND(F.lit(15))
 
-def links(nodes: DataFrame, full: int = FULL) -> DataFrame:
-    """Verified links between distinct fingerprints: a > b. Links of long lists come as stars around hubs."""
-    masks = _masks()
-    keys = F.array(*[F.struct(F.lit(k).alias("key"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for k, (m, _) in enumerate(masks)])
-    postings = nodes.select("fp", F.inline(keys))
-    lists = postings.groupBy("key", "val").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = staged(postings.join(lists, ["key", "val"]), "postings")
+    halves = F.array(*[F.struct(F.lit(4 * i + j).alias("which"), (half(i) * 16 + half(j)).alias("bits")) for i, j in combinations(range(4), 2)])
+    parts = shared.select("key", "val", "fp", F.inline(halves)).groupBy("key", "val", "which", "bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    stars = F.transform("fps", lambda x: F.struct(x.alias("a"), F.filter("fps", lambda y: y < x).alias("bs")))
+    pairs = parts.select("key", F.inline(stars)).select("key", "a", F.explode("bs").alias("b")).distinct()
 
-    short = shared.filter(F.col("n") <= full).groupBy("key", "val").agg(F.collect_list("fp").alias("fps"))
-    near = lambda x, y: (x > y) & (shared_bytes(x, y) >= MIN_SHARED) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)
-    stars = F.transform("fps", lambda x: F.struct(x.alias("a"), F.filter("fps", lambda y: near(x, y)).alias("bs")))
-    pairs = short.select(F.inline_outer(stars)).select("a", F.explode("bs").alias("b"))
-
-    flips = F.array(*[F.lit(_signed(f)) for f in [0, *(1 << b for b in range(64))]])
-    other = F.element_at(F.array(*[F.lit(o) for _, o in masks]), F.col("key") + 1)
-    reach = F.filter(flips, lambda f: f.bitwiseAND(F.col("rest")) == f)
-    hubs = shared.filter(F.col("n") > full).withColumn("rest", other)
-    hubs = hubs.select("key", "fp", F.explode_outer(F.transform(reach, lambda f: F.col("fp").bitwiseXOR(f))).alias("hub"))
-    hubs = hubs.groupBy("key", "hub").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = hubs.select("b", F.explode("fps").alias("a")).filter("a > b").select("a", "b")
-    return pairs.unionByName(stars).distinct()
+    common = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= comb(MIN_SHARED, MIN_SHARED))
+    close = common.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    told = F.when(F.col("common") >= comb(8, MIN_SHARED), 8).when(F.col("common") >= comb(7, MIN_SHARED), 7).otherwise(MIN_SHARED)
+    return close.select("a", "b", told.alias("shared"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -129,35 +137,118 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
-def _members(rows: DataFrame, id_col: str, full: int) -> DataFrame:
-    """fp, root, least: the component of each fingerprint, and its first row as (id is null, id, digest)."""
-    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("digest"))).alias("least")
-    nodes = staged(rows.groupBy("fp").agg(least), "nodes")
-    roots = components(links(nodes, full))
-    return staged(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
-
-
-def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: int = FULL) -> DataFrame:
+def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row: <id_col>, fp, component_id."""
     rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    member = _members(rows.withColumn("digest", F.lit(None).cast("binary")), id_col, full)
+    nodes = staged(rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("least")), "nodes")
+    roots = components(links(nodes).select("a", "b"))
+    member = staged(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
     first = member.groupBy("root").agg(F.min("least")["id"].alias("component_id"))
     return rows.join(member.join(first, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: int = FULL) -> DataFrame:
+# ---- copies further apart ----
+
+
+def _design() -> np.ndarray:
+    """The sets of positions: random divisions of all positions, so that few sets share more than one."""
+    rng, out = random.Random(SEED), []
+    while len(out) < WIDE_KEYS:
+        order = rng.sample(range(WIDE), WIDE)
+        out += [order[k : k + WIDE_BYTES] for k in range(0, WIDE, WIDE_BYTES)]
+    return np.array(out[:WIDE_KEYS])
+
+
+def wide_fingerprint(text: str | None, known: dict[bytes, bytes]) -> np.ndarray:
+    """64 bytes; a bit is set if it is set in over half of the hashes of the distinct words. ``known`` keeps hashes."""
+    words = list({*(text or "").encode("utf-8", "surrogatepass").lower().split()})
+    counts = np.zeros(8 * WIDE, np.int64)
+    for at in range(0, len(words), 8192):
+        digests = []
+        for w in words[at : at + 8192]:
+            d = known.get(w)
+            if d is None:
+                d = blake2b(w, digest_size=WIDE).digest()
+                if len(w) <= 32:
+                    if len(known) >= 200_000:
+                        known.clear()
+                    known[w] = d
+            digests.append(d)
+        counts += np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, WIDE), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(words))
+
+
+def _wide_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, digest (of the text) and keys (the bytes of each set of positions) of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), content_hash(whole(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    sets, known = _design(), {}
+
+    def run(cols):
+        keys = [np.ascontiguousarray(wide_fingerprint(t, known)[sets]).view("<i4").ravel() for t in cols[2]]
+        return [cols[0], cols[1], keys]
+
+    return map_batches(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, digest binary, keys array<int>")
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """node, sh: hashes of the distinct shingles of each node's text; a text of fewer words is one shingle."""
+    rows = docs.select(content_hash(whole(text_col)).alias("digest"), whole(text_col).alias("text"))
+    texts = rows.join(_small(nodes), "digest").groupBy("node").agg(F.first("text").alias("text"))
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("w") - (WIDE_SHINGLE - 1)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(WIDE_SHINGLE)]))
+    made = texts.select("node", words.alias("w"), F.monotonically_increasing_id().alias("row")).filter("row >= 0")
+    return staged(made.select("node", F.array_distinct(F.when(n > 0, runs).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))).alias("sh")), "shingle-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs a, b whose sets of shingles have a cosine of at least ``least``."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("sh").alias("a_sh")), sets.select(F.col("node").alias("b"), F.col("sh").alias("b_sh"))
+    both = F.size(F.array_intersect("a_sh", "b_sh"))
+    return pairs.join(a, "a").join(b, "b").filter(both >= least * F.sqrt(F.size("a_sh") * F.size("b_sh").cast("double")) - 1e-9).select("a", "b")
+
+
+def similar_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, least: float) -> DataFrame:
+    """node, root for the nodes (node, digest, keys) that have a similar one."""
+    postings = nodes.select("node", F.posexplode("keys").alias("key", "val"))
+    lists = staged(postings.groupBy("key", "val").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).filter("n > 1").select("key", "val", "center"), "lists")
+    shared = staged(postings.join(_small(lists), ["key", "val"]), "postings")
+    sets = _shingle_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "digest"), text_col)
+
+    # Each node against the least one of its lists.
+    stars = shared.filter("node <> center").groupBy(F.col("node").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    near = staged(_similar(stars.select("a", "b"), sets, least), "near")
+    roots = components(near)
+
+    # Nodes outside their list's largest component against all nodes of others.
+    placed = staged(shared.join(roots, "node", "left").select("key", "val", "node", F.coalesce("root", "node").alias("root")), "placed")
+    sizes = placed.groupBy("key", "val", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key", "val").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "val", "most")
+    open_ = staged(placed.join(largest, ["key", "val"]), "open")
+    left = open_.filter("root <> most").select("key", "val", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    others = open_.select("key", "val", F.col("node").alias("y"), F.col("root").alias("y_root"))
+    more = left.join(others, ["key", "val"]).filter("x_root <> y_root").groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    more = more.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    return components(near.unionByName(_similar(more, sets, least)))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row of each component, that with its smallest id, with all its columns.
 
     Rows are named by their id and the digest of their text, so rows without an id, or with different
     texts under one id, are told apart; of rows that agree in both one is kept.
     """
     digest, keep, mark = unused(docs, "digest"), unused(docs, "keep"), unused(docs, "mark")
-    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), content_hash(whole(text_col)).alias("digest"))
-    rows = staged(fingerprints(rows, "id_", "text_", "digest"), "fingerprints")
-    first = _members(rows, "id_", full).groupBy("root").agg(F.min("least").alias("least"))
-    stay = first.select(F.col("least")["id"].alias(keep), F.col("least")["digest"].alias(mark))
+    rows = staged(_wide_keys(docs, id_col, text_col), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("least")
+    nodes = staged(rows.groupBy("digest").agg(least, F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = similar_nodes(docs, nodes.select("node", "digest", "keys"), text_col, similar)
+    member = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    first = member.groupBy("root").agg(F.min("least").alias("least"))
+    stay = staged(first.select(F.col("least")["id"].alias(keep), F.col("least")["digest"].alias(mark)), "stay")
     docs = docs.withColumn(digest, content_hash(whole(text_col)))
     found = docs.join(stay, F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(digest) == F.col(mark)), "left_semi")
-    if ids_repeat(rows, "id_"):
+    if ids_repeat(rows, "id"):
         found = found.dropDuplicates([id_col, digest])
     return found.drop(digest)
