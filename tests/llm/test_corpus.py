@@ -277,32 +277,6 @@ def test_pii_patterns_by_brute_force():
     assert pii.base_spans("4111 1111-1111 1111 5500000000000004") == brute("4111 1111-1111 1111 5500000000000004")
 
 
-def test_pii_field(spark):
-    field = pii.trained()
-    lines = pii.labelled_lines()
-    assert sum((a == b).all() for a, (_, b) in zip(field.decode([w for w, _ in lines]), lines)) >= 0.97 * len(lines)
-    assert field.plain_lines_are_empty
-    (base, every), *_ = pii.find_spans(["call me (555) 123-9876 or +1 (888) 555-6841"], field)
-    assert [s[0] for s in base] == ["phone"] and len(every) == 2
-    plain = ["The quick fox, and - some ... words!"] * 3
-    assert all((t == 0).all() for t in field.decode([x.split() for x in plain]))
-    rows = pii.find_pii(docs_of(spark, ODD)).collect()
-    assert len(rows) == len(ODD) and not any(r.spans for r in rows)
-
-
-def test_field_decoding_is_viterbi():
-    """Against the best of all tag sequences."""
-    from itertools import product
-
-    field = pii.trained()
-    for line in (["call", "(555)", "123-4567"], ["10.0.0.1", "x"], ["4111", "1111"]):
-        score, best = field.scores(line), None
-        for tags in product(range(len(pii.TAGS)), repeat=len(line)):
-            s = field.begin[tags[0]] + sum(score[k, t] for k, t in enumerate(tags)) + sum(field.step[a, b] for a, b in zip(tags, tags[1:]))
-            best = max(best or (s, tags), (s, tags))
-        assert tuple(field.decode([line, ["pad"] * 9])[0]) == best[1]
-
-
 def brute_matches(docs, items, threshold=0.8):
     import re
 

@@ -1,23 +1,28 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns find emails, IP addresses, card and phone numbers. The field adds spans of the same
-kinds that they miss, such as phones without a country code or cards written with dots. Its features
-are word shapes only (character classes, length, counts of digits) of a word and its neighbours; it
-is trained here by gradient ascent on the likelihood of ``LABELLED``, a small table, and decoded by Viterbi over
-numpy batches of lines. A span of the field stays if no span of the patterns overlaps it.
-
-A line is a sequence. Lines without a digit or @ are not decoded if the trained weights prove (by
-bounding every feature and transition) that such a line has no span; else all lines are decoded.
-
-Defined results: a null text is empty and has no spans; offsets are code points, ends exclusive;
-repeated rows come back repeated; other columns do not matter.
+The patterns find emails, IP addresses, card and phone numbers. The field adds what they do not see: emails with
+a written-out or bracketed at sign or a bare host, addresses of version 6 and defanged ones, cards with other
+marks between the digits, phones without a country code, and secrets such as tokens and keys, a kind of their
+own that follows the four. Its features are word shapes only (character classes, lengths, counts of digits and
+marks, changes between letters and digits) of a word and its neighbours; it is trained here by gradient ascent
+on the likelihood of ``labelled_lines``, a small table of invented lines, and decoded by Viterbi over numpy
+batches of lines. A span of the field stays if it can be of its kind (``plausible``) and no span of the
+patterns overlaps it.
+
+A line is a sequence. Lines without a digit, @ or short bracketed word are not decoded if the trained weights
+prove (by bounding every feature and transition) that such a line has no span; else all lines are decoded.
+
+Defined results: a null text is empty and has no spans; offsets are code points, ends exclusive; texts of any
+length are read whole, the longest line bounds a batch; repeated rows come back repeated; an empty table gives no
+rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import ipaddress
+import random
 import re
 from functools import lru_cache
-from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +30,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only the field finds come after those of the patterns.
+ALL_KINDS = (*KINDS, "secret")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -78,95 +85,130 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---- the field -------------------------------------------------------------------------------
 
-#: The labelled table: [kind|text] marks a span; the rest is outside.
-LABELLED = """
-write to [email|ann.lee@mail.example.com] today
-my address is [email|bo_2@site.example.org] , thanks
-Mail [email|carl+news@example.net] or call
-contact: [email|d.e.f@sub.example.co.uk].
-[email|gina99@mail4.example.com] wrote back
-send it to [email|hal@host] at once
-reach [email|ivy.10@intranet] by noon
-host [ip|10.0.0.1] is down
-from [ip|192.168.12.250] to [ip|172.16.4.7] in one hop
-ping [ip|8.8.4.4] , then stop
-server at [ip|203.0.113.77]:
-the address [ip|191.26.250.130] was seen
-card [card|4111 1111 1111 1111] expires soon
-paid with [card|5500-0000-0000-0004] yesterday
-use [card|4040549990366437] here
-number [card|378282246310005] was charged
-card [card|4111.1111.1111.1111] on file
-it is [card|6011.0009.9013.9424] , he said
-charged [card|3056 930902 5904] twice
-call [phone|+1 (888) 555-6841] now
-phone [phone|+44 20 7946 0958] please
-dial [phone|(555) 123-4567] after noon
-dial [phone|(212) 555-0187] or wait
-ring [phone|(838) 555-9577] today
-phone [phone|555-123-4567] at night
-call [phone|212-555-0187] then
-my number is [phone|838-555-9577].
-text [phone|555.123.4567] or come by
-fax [phone|212.555.0187] works
-tel [phone|+49-30-901820] office
-the red fox ran over the hill
-It was a dark night. Nobody came
-in 1999 they moved to the coast
-about 25 people and 300 cows
-chapter 12 has 34 pages
-version 2.10.3 was out in 2021
-on 2024-05-17 at 10:30 we met
-at 3.14 the value of x is 42
-room 101 , floor 3
-costs $45.99 or 20 % less
-id 99120034 in row 17
-token = "a7898f631d0c339a0d2af2f50c7613fcfdcec734"
-key = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
-commit 3f2a9b1c77de by admin
-order 20240517 was 1,250.00 in all
-pages 10-20 and 30-40
-ratio 16:9 in 1080p
-SHOUT!! MORE!! NOISE!! HERE!!
-word### next$$$ more%%% again***
-a | b | c | d
-see http://www.example.com/en/5462 for more
-@someone said so
-mail me @ noon
-on 17.05.2024 it rained
-from 05/17/2024 to 06/18/2024
-scores were 3-2 and 10-9
-part 12-3456-78 is sold out
-half of 1.000.000 is 500.000
-line 4: error 404 at 0x7ffe12
-Der Hund, das Haus und die Katze
-El perro es muy grande y viejo
-Où est le chat de la voisine ?
-"""
-
-TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-_MARKED = re.compile(r"\[(\w+)\|([^\]]*)\]")
+TAGS = ("O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI"))
 _WORD = re.compile(r"\S+")
-_EDGE = ".,;:!?\"'[]{}<>#$%&*|"
-#: Words that a line of the field may need: lines with neither a digit nor an @ are plain.
-_TELLING = re.compile("[0-9@]")
+_EDGE = ".,;:!?\"'[]{}<>#$%&*|="
+_BRACKETED = re.compile(r"[(\[{][A-Za-z]{2,3}[)\]}]")
+#: What a line of the field may need: lines without it are plain.
+_TELLING = re.compile(rf"[0-9@]|{_BRACKETED.pattern}")
+_CHANGE = re.compile("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+
+
+def check_digit(digits: str) -> str:
+    """The digit that makes a card number of the digits before it."""
+    return next(c for c in "0123456789" if luhn(digits + c))
+
+
+class Invented:
+    """Lines with spans of every kind and lines without, made up from a seed; values are from ranges that are kept for examples."""
+
+    names = ("ann", "bo", "carla", "dmitri", "eve", "farid", "gina", "hal", "ivy", "jon", "kim", "lena")
+    hosts = ("example", "sample-site", "mail.example", "intranet", "testhost", "shop.example")
+    ends = ("com", "org", "net", "co.uk", "test")
+    fillers = ("please", "write", "to", "the", "office", "or", "call", "before", "noon", "about", "it", "Today", "we", "sent", "all", "papers", "und", "dann", "la", "casa", "avec", "nous", "Report", "stands", "for", "a", "long", "time", "no", "reply", "yet")
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def digits(self, n: int) -> str:
+        return "".join(self.rng.choice("0123456789") for _ in range(n))
+
+    def email(self) -> str:
+        r = self.rng
+        name = r.choice(self.names) + r.choice(["", ".", "_", "-"]) + r.choice(["", self.digits(2), r.choice(self.names)])
+        host, end = r.choice(self.hosts), r.choice(self.ends)
+        at, dot = r.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" {at} ", "."), (" (at) ", "."), (" [at] ", ".")])
+        return r.choice([f"{name}@{host.partition('.')[0]}", f"{name}@{host}.{end}", f"{name}{at}{host}{dot}{end.partition('.')[0]}", f"{name}{at}{host.partition('.')[0]}{dot}{end.partition('.')[0]}"])
+
+    def ip(self) -> str:
+        r = self.rng
+        four = r.choice(["192.0.2", "198.51.100", "203.0.113"]) + f".{r.randrange(1, 255)}"
+        group = lambda: f"{r.randrange(1, 65536):x}"
+        six = r.choice(["2001:db8::" + group(), "2001:db8:" + ":".join(group() for _ in range(6)), "fe80::" + ":".join(group() for _ in range(4)), f"2001:db8:{group()}::{group()}:{group()}"])
+        return r.choice([four, four.replace(".", "[.]"), four.replace(".", "(.)"), six, six, six.upper()])
+
+    def card(self) -> str:
+        r = self.rng
+        body = r.choice(["4", "51", "55", "6011"])
+        body += self.digits(15 - len(body))
+        body += check_digit(body)
+        return r.choice([" ", "-", ".", ".", "/", "_", ""]).join(body[k : k + 4] for k in range(0, 16, 4))
+
+    def phone(self) -> str:
+        r = self.rng
+        area, line = r.choice("23456789") + self.digits(2), "01" + self.digits(2)
+        return r.choice([f"({area}) 555-{line}", f"({area}) 555 {line}", f"{area}-555-{line}", f"{area}.555.{line}", f"1-{area}-555-{line}", f"+1 ({area}) 555-{line}", f"+49 30 555{line}", f"0049 30 555{line}", f"({area})555-{line}", f"0{area}/555{line}", f"{area} 555 {line}"])
+
+    def secret(self) -> str:
+        r = self.rng
+        mixed = lambda of, n: "".join(r.choice(of) for _ in range(n - 2)) + r.choice("abcdef") + r.choice("0123456789")
+        hexes, letters = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+        return r.choice([mixed(hexes, 32), mixed(hexes, 40), mixed(hexes, 64), mixed(hexes, 40).upper(), "sk_test_" + mixed(letters, 24), "AKIA" + mixed(letters, 16).upper(), mixed(letters, r.randrange(24, 44)), "ghp_" + mixed(letters, 36)])
+
+    def plain(self) -> str:
+        """A word or two with digits or marks that are nobody's data."""
+        r = self.rng
+        n = self.digits
+        return r.choice([
+            f"{r.randrange(1, 5000)}", f"{r.randrange(1900, 2030)}", f"2024-0{r.randrange(1, 10)}-{r.randrange(10, 29)}", f"{r.randrange(1, 29)}.0{r.randrange(1, 10)}.2019", f"0{r.randrange(1, 10)}/{r.randrange(10, 29)}/2021",
+            f"{r.randrange(0, 24):02}:{n(2)}", f"{r.randrange(10, 24)}:{n(2)}:{n(2)}", f"${r.randrange(1, 900)}.{n(2)}", f"{r.randrange(1, 99)},{n(3)}", f"{r.randrange(1, 9)}.{n(3)}.{n(3)}", f"{r.randrange(0, 9)}.{r.randrange(0, 30)}", f"v{r.randrange(1, 9)}.{r.randrange(0, 9)}.{r.randrange(0, 9)}",
+            f"{r.randrange(1, 99)}%", f"{r.randrange(1, 40)}-{r.randrange(41, 90)}", f"#{n(4)}", f"0x{n(2)}f{n(1)}e", f"id={n(8)}", n(6), n(8), n(11), f"{n(2)}-{n(4)}-{n(2)}", f"A{n(3)}-B{n(2)}", f"{r.randrange(2, 9)}x{r.randrange(2, 9)}", f"{r.randrange(1, 9)}th", f"R{n(3)}",
+            "http://www.example.com/en/" + n(4), "https://shop.example.org/item?id=" + n(5), "@" + r.choice(self.names), "a @ b", "file_" + n(3) + ".txt", "3:2", "(1)", "[12]", "(" + n(4) + ")", "rgb(10,20,30)", "CO2", "H2O", "B2B", "q1", "1a2b", "ab12cd", "isbn " + n(3) + "-" + n(1), "No. " + n(2), "SHOUT!!", "w###", "|", "--", "..."])
+
+    def line(self) -> tuple[list[str], list[int]]:
+        """Words and tags."""
+        words: list[str] = []
+        tags: list[int] = []
+        some = lambda most: [self.rng.choice(self.fillers) for _ in range(self.rng.randrange(most))]
+
+        def put(text: list[str], first: int = 0, more: int = 0) -> None:
+            for k, w in enumerate(text):
+                words.append(w)
+                tags.append(more if k else first)
+
+        put(some(5))
+        if self.rng.random() < 0.25:  # prose
+            put([self.rng.choice(self.fillers) + self.rng.choice(["", "", "", ",", ".", "-"]) if self.rng.random() < 0.9 else self.rng.choice(["--", "...", "|", "so-called", "it's", "e.g."]) for _ in range(self.rng.randrange(1, 12))])
+            return words, tags
+        for _ in range(self.rng.choice([1, 1, 1, 2])):
+            if self.rng.random() < 0.45:
+                put(self.plain().split())
+            else:
+                kind = self.rng.choice(ALL_KINDS)
+                said = getattr(self, kind)().split()
+                before, after = self.rng.choice([("", ""), ("", ""), ("", "."), ("", ","), ('"', '"'), ("", "!!"), ("", "###"), ("'", "',")])
+                said[0], said[-1] = before + said[0], said[-1]
+                said[-1] += after
+                put(said, TAGS.index(f"B-{kind}"), TAGS.index(f"I-{kind}"))
+            put(some(4))
+        if not words:
+            put(["so"])
+        return words, tags
+
+
+def labelled_lines(seed: int = 1, n: int = 700) -> list[tuple[list[str], list[int]]]:
+    """The labelled table: n invented lines as words and tags."""
+    made = Invented(seed)
+    return [made.line() for _ in range(n)]
 
 
 def shape(word: str) -> tuple[str, ...]:
-    """Features of a word by its shape alone."""
+    """Features of a word by its shape alone. Words without digit, @ and brackets around a short word have one of three shapes."""
     core = word.strip(_EDGE)
-    runs = re.sub("[^\\W\\d_]+", "a", re.sub("[0-9]+", lambda m: f"9{min(len(m[0]), 5)}", core))
     digits = len(_DIGIT.findall(core))
-    found = [f"runs={runs if len(runs) <= 16 else 'long'}", f"digits={min(digits, 20)}", f"alnum={core.isalnum()}", f"at={'@' in core}"]
+    bracketed = bool(_BRACKETED.search(word))
+    if not digits and "@" not in core and not bracketed:
+        return f"runs={'a' if core.isalpha() else 'none' if not core else 'other'}", "digits=0"
+    runs = re.sub("[^\\W\\d_]+", "a", re.sub("[0-9]+", lambda m: f"9{min(len(m[0]), 5)}", core))
+    changes, size = len(_CHANGE.findall(core)), len(core)
+    found = [
+        f"runs={runs if len(runs) <= 18 else 'long'}", f"digits={min(digits, 20)}", f"alnum={core.isalnum()}", f"at={'@' in core}{core[:1] == '@'}", f"size={min(size // 4, 12)}",
+        f"bracketed={bracketed}{bool(_BRACKETED.fullmatch(word))}{'@' in core}", f"changes={min(changes, 8)}{size >= 20}", f"colons={min(core.count(':'), 3)}{'::' in core}", f"marks={''.join(sorted({c for c in core if not c.isalnum()}))[:6]}",
+    ]
     if digits:
-        found.append(f"dots={min(core.count('.'), 4)}")
-        found.append(f"dashes={min(core.count('-'), 4)}")
-        found.append("mixed" if re.search("[^\\W\\d_]", core) else "numeric")
-        found.append(f"open={core[:1] in '(+'}{core[:1] == '+'}")
-    else:
-        found = [f"runs={'a' if core.isalpha() else 'none' if not core else 'other'}", "digits=0", f"at={'@' in core}{core[:1] == '@'}"]
-        if "@" in core:
-            found.append(f"host={'.' in core.partition('@')[2]}{bool(core.partition('@')[0])}")
+        found += [f"dots={min(core.count('.'), 4)}", f"dashes={min(core.count('-'), 4)}", "mixed" if re.search("[^\\W\\d_]", core) else "numeric", f"open={core[:1] in '(+'}{core[:1] == '+'}", f"hex={bool(re.fullmatch('[0-9a-fA-F:]+', core))}"]
+    if "@" in core:
+        found.append(f"host={'.' in core.partition('@')[2]}{bool(core.partition('@')[0])}")
     return tuple(found)
 
 
@@ -177,28 +219,6 @@ def _features(shapes: list[tuple[str, ...]]) -> list[list[str]]:
     return [[f"0{x}" for x in around[k]] + [f"-{x}" for x in around[k - 1]] + [f"+{x}" for x in around[k + 1]] for k in range(1, len(around) - 1)]
 
 
-def labelled_lines() -> list[tuple[list[str], list[int]]]:
-    """Words and tags of the labelled table."""
-    out = []
-    for line in LABELLED.strip("\n").split("\n"):
-        words, tags, at = [], [], 0
-        for m in [*_MARKED.finditer(line), None]:
-            plain = line[at : m.start() if m else len(line)]
-            for w in plain.split():
-                if words and not plain[:1].isspace() and w == plain.split()[0] and at:
-                    words[-1] += w  # punctuation on the end of a span
-                    continue
-                words.append(w)
-                tags.append(0)
-            if m:
-                for k, w in enumerate(m[2].split()):
-                    words.append(w)
-                    tags.append(TAGS.index(f"{'I' if k else 'B'}-{m[1]}"))
-                at = m.end()
-        out.append((words, tags))
-    return out
-
-
 class Field:
     """Weights of features by tag, and of steps between tags."""
 
@@ -214,23 +234,26 @@ class Field:
         return self.emit[rows].sum(axis=0) if rows else np.zeros(len(TAGS))
 
     def _proof(self) -> float:
-        """An upper bound of what tags other than O can gain in a line whose words have neither digit nor @.
+        """The most that any tags can gain over all-O in a line whose words are all plain, or infinity.
 
-        ``gain`` bounds a place by tag over all shapes of such words and of their neighbours; the best
-        stretch of tags is then found by relaxation, as a longest path that must not grow.
+        Plain words have one of few shapes, so lines of them are paths over (shape, next shape, tag); the
+        best path that leaves O and comes back is found by relaxation, as a longest path that must not grow.
         """
         forms = [shape(w) for w in ("word", "...", "a-b")]
-        own = [self._sum([f"0{x}" for x in f]) for f in forms]
+        n, own = len(forms), [self._sum([f"0{x}" for x in f]) for f in forms]
         before = [self._sum([f"-{x}" for x in f]) for f in forms] + [self.edge_before]
         after = [self._sum([f"+{x}" for x in f]) for f in forms] + [self.edge_after]
-        gain = sum(np.max([v - v[0] for v in vs], axis=0) for vs in (own, before, after))
+        score = np.array([[[own[f] + before[p] + after[x] for x in range(n + 1)] for f in range(n)] for p in range(n + 1)])
+        gain = (score - score[..., :1])[..., 1:]  # of each tag but O, by previous, own and next shape
         move = self.step - self.step[0, 0]
-        best = np.maximum(move[0], self.begin - self.begin[0]) + gain
-        for _ in range(4 * len(TAGS)):
-            longer = np.maximum(best[1:], (best[1:, None] + move[1:, 1:]).max(axis=0) + gain[1:])
-            if np.array_equal(longer, best[1:]):
-                return float((best[1:] + np.maximum(move[1:, 0], 0)).max())
-            best[1:] = longer
+        first = np.concatenate([np.broadcast_to(move[0, 1:], (n, len(TAGS) - 1)), [self.begin[1:] - self.begin[0]]])  # after a plain word, at the edge
+        best = (gain + first[:, None, None, :]).max(axis=0)  # by own and next shape, and tag
+        for _ in range(4 * gain.size):
+            into = (best[:, :n, :, None] + move[1:, 1:]).max(axis=2)  # by previous and own shape, and the own tag
+            longer = np.maximum(best, (into[:, :, None, :] + gain[:n]).max(axis=0))
+            if np.array_equal(longer, best):
+                return float(max((best[:, :n] + move[1:, 0]).max(), best[:, n].max()))
+            best = longer
         return np.inf
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -304,39 +327,66 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def train(lines: list[tuple[list[str], list[int]]], rounds: int = 150, rate: float = 0.3, decay: float = 0.01) -> Field:
+class Training:
+    """A labelled table as padded arrays, and the likelihood of weights on it with its gradient."""
+
+    def __init__(self, lines: list[tuple[list[str], list[int]]], decay: float = 0.01):
+        feats = [_features([shape(w) for w in words]) for words, _ in lines]
+        names = sorted({f for line in feats for place in line for f in place})
+        self.names, self.decay = {x: k for k, x in enumerate(names)}, decay
+        most, wide = max(map(len, feats)), max(len(place) for line in feats for place in line)
+        self.at = np.full((len(lines), most, wide), len(names))  # one weight beyond the last is always zero
+        self.tags, self.sizes = np.zeros((len(lines), most), int), np.array([len(line) for line in feats])
+        for k, (line, (_, tags)) in enumerate(zip(feats, lines, strict=True)):
+            self.tags[k, : len(tags)] = tags
+            for t, place in enumerate(line):
+                self.at[k, t, : len(place)] = [self.names[f] for f in place]
+        self.allow_step, self.allow_begin = _allowed()
+
+    def likelihood(self, emit: np.ndarray, step: np.ndarray, begin: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Penalised log likelihood of all lines, and its gradient by forward and backward sums."""
+        n, (rows, most, _) = len(TAGS), self.at.shape
+        here = np.arange(rows)
+        score = np.vstack([emit, np.zeros(n)])[self.at].sum(axis=2)
+        moves, start = step + self.allow_step, begin + self.allow_begin
+        live = np.arange(most) < self.sizes[:, None]
+        fwd, bwd = np.zeros((rows, most, n)), np.zeros((rows, most, n))
+        fwd[:, 0] = score[:, 0] + start
+        for t in range(1, most):
+            fwd[:, t] = np.where(live[:, t, None], _lse(fwd[:, t - 1, :, None] + moves, 1) + score[:, t], fwd[:, t - 1])
+        for t in range(most - 2, -1, -1):
+            bwd[:, t] = np.where(live[:, t + 1, None], _lse(moves + (score[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
+        total = _lse(fwd[here, self.sizes - 1], 1)
+        own = -np.exp(fwd + bwd - total[:, None, None]) * live[:, :, None]
+        line, place = np.nonzero(live)
+        own[line, place, self.tags[line, place]] += 1
+        flat, at = own.reshape(-1, n), self.at.reshape(-1, self.at.shape[2])
+        grad = np.stack([np.bincount(at.ravel(), np.repeat(flat[:, k], at.shape[1]), len(emit) + 1) for k in range(n)], axis=1)[:-1]
+        steps = np.zeros((n, n))
+        told = score[line, place, self.tags[line, place]].sum() + start[self.tags[:, 0]].sum()
+        for t in range(1, most):
+            on = live[:, t]
+            both = fwd[on, t - 1, :, None] + moves + (score[on, t] + bwd[on, t])[:, None, :]
+            steps -= np.exp(both - total[on, None, None]).sum(axis=0)
+            np.add.at(steps, (self.tags[on, t - 1], self.tags[on, t]), 1)
+            told += moves[self.tags[on, t - 1], self.tags[on, t]].sum()
+        weights = [emit, step, begin]
+        penalty = 0.5 * self.decay * sum((w * w).sum() for w in weights)
+        return float(told - total.sum() - penalty), [g - self.decay * w for g, w in zip((grad, steps, own[:, 0].sum(axis=0)), weights, strict=True)]
+
+
+def train(lines: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float = 0.3, decay: float = 0.05) -> Field:
     """Ascent on the penalised log likelihood with per-weight step sizes; no randomness."""
-    feats = [_features([shape(w) for w in words]) for words, _ in lines]
-    names = {x: k for k, x in enumerate(sorted({f for line in feats for place in line for f in place}))}
-    rows = [[np.array([names[f] for f in place]) for place in line] for line in feats]
-    n = len(TAGS)
-    allow_step, allow_begin = _allowed()
-    emit, step, begin = np.zeros((len(names), n)), np.zeros((n, n)), np.zeros(n)
-    seen = [np.full_like(x, 1e-8) for x in (emit, step, begin)]
+    table, n = Training(lines, decay), len(TAGS)
+    weights = [np.zeros((len(table.names), n)), np.zeros((n, n)), np.zeros(n)]
+    seen = [np.full_like(x, 1e-8) for x in weights]
     for _ in range(rounds):
-        grads = [-decay * emit, -decay * step, -decay * begin]
-        for line, (_, tags) in zip(rows, lines, strict=True):
-            score = np.array([emit[r].sum(axis=0) for r in line])
-            moves, start, size = step + allow_step, begin + allow_begin, len(line)
-            fwd, bwd = np.zeros((size, n)), np.zeros((size, n))
-            fwd[0] = score[0] + start
-            for t in range(1, size):
-                fwd[t] = _lse(fwd[t - 1][:, None] + moves, 0) + score[t]
-            for t in range(size - 2, -1, -1):
-                bwd[t] = _lse(moves + (score[t + 1] + bwd[t + 1])[None, :], 1)
-            total = _lse(fwd[-1], 0)
-            own = -np.exp(fwd + bwd - total)
-            own[np.arange(size), tags] += 1
-            for t, r in enumerate(line):
-                grads[0][r] += own[t]
-            grads[2] += own[0]
-            for t in range(1, size):
-                grads[1] -= np.exp(fwd[t - 1][:, None] + moves + (score[t] + bwd[t])[None, :] - total)
-                grads[1][tags[t - 1], tags[t]] += 1
-        for w, g, s in zip((emit, step, begin), grads, seen, strict=True):
+        _, grads = table.likelihood(*weights)
+        for w, g, s in zip(weights, grads, seen, strict=True):
             s += g * g
             w += rate * g / np.sqrt(s)
-    return Field(names, emit, step + allow_step, begin + allow_begin)
+    emit, step, begin = weights
+    return Field(table.names, emit, step + table.allow_step, begin + table.allow_begin)
 
 
 @lru_cache(1)
@@ -344,18 +394,28 @@ def trained() -> Field:
     return train(labelled_lines())
 
 
+_DEFANGED = re.compile(r"[\[(]\.[\])]")
+_AT = re.compile(r"\s*[(\[{]at[)\]}]\s*|@", re.I)
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+
+
 def plausible(kind: str, text: str) -> bool:
-    """Whether a span of the field can be of its kind at all, by the numbers that the patterns go by too."""
+    """Whether a span of the field can be of its kind at all."""
     digits = "".join(_DIGIT.findall(text))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
     if kind == "ip":
-        parts = text.split(".")
-        return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in parts)
-    name, _, host = text.partition("@")
-    return bool(name and host)
+        try:
+            ipaddress.ip_address(_DEFANGED.sub(".", text))
+        except ValueError:
+            return False
+        return True
+    if kind == "secret":
+        return bool(_KEY.fullmatch(text) and digits and len(digits) < len(text))
+    name, host = ([*_AT.split(text, maxsplit=1), "", ""])[:2]
+    return bool(name.strip() and host.strip())
 
 
 def added_spans(lines: list[tuple[int, str]], field: Field) -> list[list[tuple[str, int, int]]]:
@@ -398,15 +458,11 @@ def find_spans(texts: list[str | None], field: Field) -> list[tuple[list, list]]
     every = [list(b) for b in base]
     for k, spans in zip(owner, added_spans(lines, field), strict=True):
         every[k] += [s for s in spans if not any(a < s[2] and s[1] < b for _, a, b in base[k])]
-    rank = {kind: n for n, kind in enumerate(KINDS)}
+    rank = {kind: n for n, kind in enumerate(ALL_KINDS)}
     order = lambda s: (rank[s[0]], s[1])
     return [(sorted(b, key=order), sorted(e, key=order)) for b, e in zip(base, every, strict=True)]
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """<id_col>, base and spans (both array<struct<kind, start, stop>>) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
