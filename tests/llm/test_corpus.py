@@ -180,6 +180,33 @@ def test_chat_round_trip(spark):
     assert got[None][0] == [("user", "é" * 9000)]
 
 
+def test_chat_machine_by_hand(spark):
+    """States, flags and segments of random role orders against a machine written out, long conversations included."""
+    rng = random.Random(6)
+    convs = {k: [rng.choice(["user", "assistant", "system", None, "tool"]) for _ in range(rng.randrange(1, 9))] for k in range(200)}
+    convs |= {500 + n: ["system"] * s + ["user", "assistant"] * n + e for s in (0, 1) for n in (1, 256, 257, 800 + s) for e in ([], ["user"])}
+    rows = [(c, k, r, f"t{k}<|") for c, roles in convs.items() for k, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("letters", "turns", "valid", "segments")})
+    for r in chat.format_conversations(df).collect():
+        state, roles = "begin", convs[r.conv_id]
+        for role in roles:
+            state = chat.CHATML.moves.get(state, {}).get(role or "", "reject")
+        assert r.valid == (state == "answered")
+        assert [(s.text, s.loss) for s in r.segments] == [x for k, role in enumerate(roles) for x in ((f"<|im_start|>{role or ''}\n", False), (f"t{k}<\\|", role == "assistant"), ("<|im_end|>\n", False))]
+        assert r.formatted == "".join(s.text for s in r.segments)
+    assert chat.format_conversations(df.limit(0)).count() == 0
+    twice = chat.format_conversations(df.filter("conv_id = 0").unionAll(df.filter("conv_id = 0"))).first()
+    assert len(twice.segments) == 6 * len(convs[0])
+
+
+def test_chat_with_another_template(spark):
+    made = chat.Template(start="[", after_role=":", end="]", trained=("b", "c"), moves={"begin": {"a": "x"}, "x": {"b": "y", "c": "begin"}, "y": {"c": "x"}}, accept=("y", "begin"))
+    for roles, valid in (("ab", True), ("ac", True), ("abc", False), ("acab", True), ("b", False)):
+        df = spark.createDataFrame([(1, k, r, "t") for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+        r = chat.format_conversations(df, made).first()
+        assert r.valid is valid and r.formatted == "".join(f"[{x}:t]" for x in roles) and [s.loss for s in r.segments][1::3] == [x in "bc" for x in roles]
+
+
 def test_url_filter_with_collisions(spark):
     pages = spark.createDataFrame([(1, "http://A.example.COM/en/7?x"), (2, "https://b.com/en/1#t"), (3, None), (4, "no scheme"), (5, "http://com/en/"), (6, "http://xcom/en/"), (7, "ftp://a.example.net/de/80")], "page_id long, url string")
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8")]

@@ -73,6 +73,16 @@ def ids_repeat(df: DataFrame, id_col: str) -> bool:
     return not df.groupBy(F.col(id_col).alias("id_")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a local relation, which costs no Python worker."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+    columns = list(zip(*rows)) or [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kind, strict=True)], schema=kind), _parse_datatype_string(schema))
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, rows: int = 512) -> DataFrame:
     """``mapInArrow`` over lists of column values, ``rows`` rows at a time to bound a worker's memory.
 

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, whole
+from tidemark.llm.common import small_table, staged, whole
 
 SLACK = 0.001
 #: Sums that the driver sees in a round; intervals of a node's range at most and at least.
@@ -113,7 +113,7 @@ def _open(tree: Node) -> list[Node]:
 
 def _descend(at: DataFrame, dims: int, nodes: list[Node]) -> DataFrame:
     """``at`` with the node of the next level in place of each of ``nodes``."""
-    cuts = at.sparkSession.createDataFrame([(n.first, n.dim, n.cut, n.right.first) for n in nodes], "node int, dim int, cut long, right_ int")
+    cuts = small_table(at.sparkSession, [(n.first, n.dim, n.cut, n.right.first) for n in nodes], "node int, dim int, cut long, right_ int")
     right = F.col("cut").isNotNull() & (_key(dims) >= F.col("cut"))
     return at.join(_small(cuts, len(nodes)), "node", "left").withColumn("node", F.when(right, F.col("right_")).otherwise(F.col("node"))).drop("dim", "cut", "right_")
 
@@ -128,7 +128,7 @@ def build_tree(meta: DataFrame, dims: int, leaves: int) -> tuple[Node, DataFrame
     whole_range = [max(1, total[f"hi{k}"] - total[f"lo{k}"]) for k in range(dims)]
     while todo := _open(tree):
         num = {node.first: node for node in todo}
-        spans = at.sparkSession.createDataFrame([(n,) for n in num], "node int")
+        spans = small_table(at.sparkSession, [(n,) for n in num], "node int")
         rows = {r.node: r for r in at.join(_small(spans, len(num)), "node").groupBy("node").agg(F.sum("size").alias("bytes"), *spread).collect()} if level else {0: total}
         state = {}
         for first, node in num.items():
@@ -142,7 +142,7 @@ def build_tree(meta: DataFrame, dims: int, leaves: int) -> tuple[Node, DataFrame
         while state:
             bins = max(FEWEST, min(BINS, SUMS // len(state)))
             width = {n: max(1, -(-(s[2] - s[1]) // bins)) for n, s in state.items()}
-            ranges = at.sparkSession.createDataFrame([(n, s[0], s[1], s[2], width[n]) for n, s in state.items()], "node int, dim int, lo long, hi long, width long")
+            ranges = small_table(at.sparkSession, [(n, s[0], s[1], s[2], width[n]) for n, s in state.items()], "node int, dim int, lo long, hi long, width long")
             part = at.join(_small(ranges, len(state)), "node").select("node", "size", "lo", "hi", "width", _key(dims).alias("key")).filter("key >= lo and key < hi")
             sums: dict[int, list] = {}
             for r in part.groupBy("node", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("bytes")).collect():

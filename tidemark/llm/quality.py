@@ -4,12 +4,14 @@ Each class has a mean and a covariance that is shrunk toward the pooled one and
 identity. A score is the logistic of the difference of the log densities, each from the Mahalanobis
 distance by the class's Cholesky factor, which is factored once on the driver and sent with the task.
 
-Fitting needs sums of features and of their products per class: one aggregate, combined map-side,
-over all labelled rows given; nothing is sampled.
-
-Defined results: a null text is empty and has a score; without rows of both classes the score is the
-share of class 1 among the labels, or 0.5 without labels; labels other than 0 and 1 are not used;
-repeated rows are scored each; other columns do not matter.
+Fitting needs sums of features and of their products per class: one aggregate, combined map-side. It takes the
+labelled rows whose id hashes lowest, about ``FIT_ROWS`` at most; so the ids of these rows, which are broadcast, and
+the work of fitting are bounded. Every row is scored, by its whole text.
+
+Defined results: a null text is empty and has a score; texts of any length count whole; without rows of both
+classes the score is the share of class 1 among the labels, or 0.5 without labels; labels other than 0 and 1, or of a
+null id, are not used; repeated labels count once, repeated rows are scored each; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tidemark.llm.common import map_batches, staged
 
 NAMES = ("length", "words", "word_length", "upper", "title", "digits", "stops", "marks", "symbols", "pipes", "shouts", "breaks", "distinct", "top", "twice", "lines_twice")
 POOL, RIDGE = 0.2, 0.05
+#: Labelled rows that the model is fitted on, at most but for chance.
+FIT_ROWS = 100_000
 
 _SYMBOLS = np.frombuffer(b"#$%&*@^~_=+<>\\/{}[]", np.uint8)
 _MARKS = np.frombuffer(b",;:'\"()-?", np.uint8)
@@ -113,24 +117,30 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_on_labels(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> Model:
-    """``found``: features by id. Labels of held-out rows are not read."""
-    known = labels.filter(~held_out(id_col)).select(id_col, label).distinct()
-    return fit(found.join(known, id_col), label)
+def labels_to_fit(labels: DataFrame, id_col: str = "doc_id", label: str = "quality", most: int = FIT_ROWS) -> DataFrame:
+    """id_, label_: at most about ``most`` labels, none of a held-out row."""
+    known = labels.filter(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("id_"), F.col(label).alias("label_")).filter("id_ is not null").distinct()
+    n = known.count()
+    share = F.pmod(F.xxhash64(F.col("id_").cast("string")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, n)))
+    return F.broadcast(known.filter(share))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> DataFrame:
     """<id_col>, held_out, score, predicted of every row."""
     found = staged(features(docs, id_col, text_col), "quality-features")
-    model = fit_on_labels(found, labels, id_col)
+    known = labels_to_fit(labels, id_col, most=most)
+    model = fit(found.join(known, found[id_col] == known["id_"]), "label_")
     kind = docs.schema[id_col].dataType.simpleString()
     scored = map_batches(found, lambda cols: [cols[0], model.score(np.array(cols[1], float).reshape(len(cols[0]), len(NAMES)))], f"`{id_col}` {kind}, score double", rows=8192)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> DataFrame:
     """The rows that the classifier does not reject, with all their columns and without a shuffle of texts."""
-    model = fit_on_labels(features(docs, id_col, text_col), labels, id_col)
+    known = labels_to_fit(labels, id_col, most=most)
+    texts = docs.select(F.col(id_col).alias("doc_"), F.col(text_col).alias("text_")).join(known, F.col("doc_") == F.col("id_"))
+    schema = f"label_ {dict(known.dtypes)['label_']}, f array<double>"
+    model = fit(map_batches(texts.select("label_", "text_"), lambda cols: [cols[0], [statistics(t) for t in cols[1]]], schema), "label_")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
