@@ -7,6 +7,8 @@ mark. ``code`` of a token list is the string of all kinds.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from typing import NamedTuple
 
 # Kinds of the tokens that extraction looks at; all other named tokens are OTHER.
@@ -46,6 +48,9 @@ _OPEN = re.compile(r"<\?(?:php(?=[ \t\r\n]|\Z)(?:[ \t]|\r?\n)?|=)", re.I)
 #: Within quotes: plain text, a variable with one member or index, or the start of an embedded expression.
 _INSIDE = re.compile(rf"(?P<variable>\${_WORD})(?:(?P<member>\??->)(?P<name>{_WORD})|(?P<index>\[)(?P<key>[^\]]*)(?P<shut>\]))?|(?P<curly>\{{(?=\$)|\$\{{)|(?P<text>(?:[^\\$\{{]|\\.|\$(?![A-Za-z_\x80-\U0010ffff\{{])|\{{(?!\$))+)", re.S)
 _VARNAME = re.compile(rf"{_WORD}(?=[\[}}])")
+_UP_TO = {quote: re.compile(rf"(?:[^\\{quote}]|\\.)*+", re.S) for quote in '"`'}
+_LINE_WORD = re.compile(rf"^[ \t]*({_WORD})", re.M)
+_KIND_OF = {"blank": BLANK, "comment": COMMENT, "single": STRING, "double": STRING, "variable": VARIABLE, "absolute": ABSOLUTE, "separator": SEPARATOR, "static": STATIC_OP, "member": MEMBER_OP}
 _ENUM = re.compile(rf"[ \t\r\n]+(?!(?:extends|implements)\b){_WORD}", re.I)
 
 
@@ -56,8 +61,11 @@ class Token(NamedTuple):
 
 
 class _Lexer:
+    """Modes that hold one another (script, quoted text, heredoc) are generators that yield the mode within, so nesting needs no recursion."""
+
     def __init__(self, source: str):
         self.source, self.at, self.line, self.out = source, 0, 1, []
+        self.starts: dict[str, list[int]] | None = None  # where lines begin with a word, by word
 
     def put(self, kind: str, text: str) -> None:
         self.out.append(Token(kind, text, self.line))
@@ -71,10 +79,16 @@ class _Lexer:
                 self.put(OTHER, self.source[self.at : m.start() if m else None])
             if m:
                 self.put(OTHER, m[0])
-                self.script(None)
+                modes = [self.script(None)]
+                while modes:
+                    inner = next(modes[-1], None)
+                    if inner is None:
+                        modes.pop()
+                    else:
+                        modes.append(inner)
         return self.out
 
-    def script(self, until: str | None) -> None:
+    def script(self, until: str | None) -> Iterator:
         """Tokens up to a closing tag, or up to the brace that ends an embedded expression."""
         depth, member = 0, False
         while self.at < len(self.source):
@@ -86,10 +100,10 @@ class _Lexer:
             if group == "word":
                 self.word(text, was_member)
             elif group == "heredoc":
-                self.heredoc(m)
+                yield self.heredoc(m)
             elif group == "quote":
                 self.put(text[-1], text)
-                self.quoted(text[-1])
+                yield self.inside(None, text[-1])
             elif group == "close":
                 self.put(OTHER, text)
                 if until is None:
@@ -100,7 +114,7 @@ class _Lexer:
                 if until and depth < 0:
                     return
             else:
-                self.put({"blank": BLANK, "comment": COMMENT, "single": STRING, "double": STRING, "variable": VARIABLE, "absolute": ABSOLUTE, "separator": SEPARATOR, "static": STATIC_OP, "member": MEMBER_OP}.get(group, OTHER), text)
+                self.put(_KIND_OF.get(group, OTHER), text)
 
     def word(self, text: str, member: bool) -> None:
         head, _, rest = text.partition("\\")
@@ -117,29 +131,31 @@ class _Lexer:
         else:
             self.put(KEYWORDS.get(low) or (OTHER if low in RESERVED else NAME), text)
 
-    def quoted(self, end: str) -> None:
-        """Text with variables in it, up to the quote that began it."""
-        self.inside(self.closing(re.compile(rf"(?:[^\\{end}]|\\.)*", re.S)), end)
-
-    def closing(self, body: re.Pattern) -> int:
-        return body.match(self.source, self.at).end()
-
-    def heredoc(self, m: re.Match) -> None:
+    def heredoc(self, m: re.Match) -> Iterator:
         label = m["raw"] or m["quoted"] or m["bare"]
         self.put(OTHER, m[0])
-        end = re.compile(rf"^[ \t]*{label}(?![0-9A-Za-z_\x80-\U0010ffff])", re.M).search(self.source, self.at)
-        stop = end.start() if end else len(self.source)
+        if self.starts is None:
+            self.starts = {}
+            for start in _LINE_WORD.finditer(self.source):
+                self.starts.setdefault(start[1], []).append(start.start())
+        places = self.starts.get(label, ())
+        k = bisect_left(places, self.at)
+        stop = places[k] if k < len(places) else len(self.source)
         if m["raw"]:
             if stop > self.at:
                 self.put(OTHER, self.source[self.at : stop])
         else:
-            self.inside(stop, None)
-        if end and self.at == stop:
-            self.put(OTHER, end[0])
+            yield self.inside(stop, None)
+        if k < len(places) and self.at == stop:
+            self.put(OTHER, _LINE_WORD.match(self.source, stop)[0])
 
-    def inside(self, stop: int, end: str | None) -> None:
+    def inside(self, stop: int | None, end: str | None) -> Iterator:
+        """Text with variables in it, up to ``stop`` or to the quote ``end``."""
+        quote = -1  # where the quote is, if it is ahead; an expression may hold the one that was found before it
         while self.at < len(self.source) and (self.at < stop if end is None else self.source[self.at] != end):
-            m = _INSIDE.match(self.source, self.at, max(stop, self.at + 1))
+            if end and quote < self.at:
+                quote = _UP_TO[end].match(self.source, self.at).end()
+            m = _INSIDE.match(self.source, self.at, max(stop if end is None else quote, self.at + 1))
             if not m:
                 self.put(OTHER, self.source[self.at])
             elif m["text"]:
@@ -148,9 +164,7 @@ class _Lexer:
                 self.put(EMBED, m["curly"])
                 if m["curly"] == "${" and (named := _VARNAME.match(self.source, self.at)):
                     self.put(OTHER, named[0])
-                self.script("}")
-                if end:
-                    stop = self.closing(re.compile(rf"(?:[^\\{end}]|\\.)*", re.S))
+                yield self.script("}")
             else:
                 self.put(VARIABLE, m["variable"])
                 if m["member"]:

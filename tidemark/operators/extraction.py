@@ -6,26 +6,43 @@ a batch at a time; each file is parsed by itself and memory is bounded by a batc
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.functions import facts as parse
 from tidemark.functions import syntax
 
 
 def _each(files: DataFrame, rows: Callable[[str], list[tuple]], columns: dict[str, str]) -> DataFrame:
-    names = ["path", "ord", *columns]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = [(path, ord_, k, *row) for path, ord_, code in zip(pdf["path"], pdf["ord"], pdf["code"]) for k, row in enumerate(rows(code or ""))]
-            yield pd.DataFrame(out, columns=["path", "ord", "pos", *columns])[[*names, "pos"]]
-
-    schema = f"path string, ord {files.schema['ord'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in columns.items()) + ", pos int"
-    return files.select("path", "ord", "code").mapInPandas(run, schema)
+    """A file that cannot be parsed has no rows and is named in the worker's log; it does not end the job."""
+    names = ["path", "ord", *columns, "pos"]
+    types = {"path": "string", "ord": files.schema["ord"].dataType.simpleString(), **columns, "pos": "int"}
+    schema = StructType.fromDDL(", ".join(f"{n} {types[n]}" for n in names))
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for path, ord_, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    found = rows(code or "")
+                except Exception as e:  # noqa: BLE001 - whatever a text does to the parser
+                    print(f"[tidemark] {path} was not parsed: {e!r}", file=sys.stderr)
+                    continue
+                out[0] += [path] * len(found)
+                out[1] += [ord_] * len(found)
+                out[-1] += range(len(found))
+                for column, values in zip(out[2:-1], zip(*found), strict=bool(found)):
+                    column += values
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, kinds, strict=True)], schema=kinds)
+
+    return files.select("path", "ord", "code").mapInArrow(run, schema)
 
 
 #: Parsers by name: a plain token scan, or facts as a syntax tree gives them.

@@ -72,11 +72,13 @@ def closure(seeds: DataFrame, edges: DataFrame, small: int = SMALL_EDGES, max_ro
 
 
 def _walk(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    to: dict = {}
-    for r in edges.toLocalIterator():
-        to.setdefault(r.dependency, []).append(r.dependent)
+    known: dict = {}
+    for r in edges.toLocalIterator():  # counted by the caller
+        known.setdefault(r.dependency, []).append(r.dependent)
+    shared = edges.sparkSession.sparkContext.broadcast(known)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to = shared.value
         for pdf in frames:
             roots, nodes = [], []
             for root, start in pdf.groupby("root", sort=False)["node"]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import class_of, is_test_method
+from tidemark.session import staged
 
 # Path components that say nothing about a namespace.
 COMMON = ("src", "lib", "app", "tests")
@@ -25,34 +26,40 @@ def by_class(tests: DataFrame, methods: DataFrame) -> DataFrame:
     return tests.withColumn("class_", class_of(F.col("callee"))).join(classes, "class_", "left_semi").select("test").distinct()
 
 
-def shared_components(path: Column, test_class: Column) -> Column:
-    """How many telling components of a path occur in a test class, ignoring case."""
-    parts = F.filter(F.split(F.regexp_replace(path, r"\.php$", ""), "/"), lambda p: (p != "") & ~F.lower(p).isin(*COMMON))
-    return F.size(F.filter(parts, lambda p: F.contains(F.lower(test_class), F.lower(p))))
+#: Letters of a component that a class name has to hold for the two to be compared.
+GRAM = 3
+
+
+def components(path: Column) -> Column:
+    """The telling components of a path, in lower case."""
+    parts = F.transform(F.split(F.regexp_replace(path, r"\.php$", ""), "/"), F.lower)
+    return F.filter(parts, lambda p: (p != "") & ~p.isin(*COMMON))
 
 
 def by_namespace(tests: DataFrame, changed: DataFrame, least: int = 2) -> DataFrame:
-    """Tests whose class holds at least two components of a changed path.
+    """Tests whose class holds at least two components of a changed path, repeated ones counted as often.
 
-    Changed paths come from one diff, so they are a short list that is exploded to components; tests
-    are matched to components and not to paths.
+    A component lies anywhere in a class, so both are joined on the component's first ``GRAM`` letters and the
+    runs of as many letters in the class, and then compared; short components on all their letters.
     """
-    paths = [r.path for r in changed.select("path").distinct().collect()]  # one diff's files
-    hit = F.lit(False)
-    name = F.replace(class_of(F.col("test")), F.lit("\\"), F.lit("/"))
-    for path in paths:
-        hit = hit | (shared_components(F.lit(path), name) >= least)
-    return tests.filter(hit).select("test").distinct()
+    paths = changed.select("path").distinct()
+    wanted = paths.select("path", F.explode(components(F.col("path"))).alias("part")).groupBy("path", "part").agg(F.count(F.lit(1)).alias("times"))
+    wanted = wanted.withColumn("gram", F.substring("part", 1, GRAM))
+    names = tests.select(F.lower(F.replace(class_of(F.col("test")), F.lit("\\"), F.lit("/"))).alias("name")).distinct()
+    at = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
+    grams = F.flatten(F.transform(at, lambda k: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("name"), k, n))))
+    held = names.select("name", F.explode(F.array_distinct(grams)).alias("gram")).join(wanted, "gram").filter(F.contains("name", F.col("part")))
+    found = held.groupBy("name", "path").agg(F.sum("times").alias("n")).filter(F.col("n") >= least).select("name").distinct()
+    return tests.withColumn("name", F.lower(F.replace(class_of(F.col("test")), F.lit("\\"), F.lit("/")))).join(found, "name", "left_semi").select("test").distinct()
 
 
 def cascade(*levels: DataFrame) -> DataFrame:
-    """The first level that has rows, in one plan: a level counts only if none before it has a row."""
-    out = levels[0]
-    some = out.select(F.lit(1).alias("one_")).limit(1)
-    for level in levels[1:]:
-        out = out.unionByName(level.join(some, F.lit(True), "left_anti"))
-        some = out.select(F.lit(1).alias("one_")).limit(1)
-    return out
+    """The first level that has rows; those after it are not run. A level is staged, so that it runs once."""
+    for level in levels[:-1]:
+        found = staged(level, "level")
+        if not found.isEmpty():
+            return found
+    return levels[-1]
 
 
 def test_files(found: DataFrame, tests: DataFrame) -> DataFrame:
