@@ -19,8 +19,10 @@ has 64 bytes and is taken over the distinct words of a text; the lists are those
 ``WIDE_BYTES`` positions, and pairs are verified by their texts: the cosine of their sets of five-word shingles,
 which is the similarity that SimHash stands for, has to be ``SIMILAR`` = 0.8 or more. A pair is found if it shares the
 bytes of a set; README has the share of all such pairs that is, against brute force. Of a list, each node is first
-held to the least one; then nodes outside the list's largest component to all nodes of other components. So
-a list of copies of one text costs work in proportion to its length, and no pair of a list is left undecided.
+held to the least one; then, in lists that still have several components, nodes outside the largest one to all nodes
+of others, within tasks of at most two parts of ``TOGETHER`` shingles, which give only links between components. So a
+list of copies of one text costs work in proportion to its length, its pairs never become rows, and none is left
+undecided; many texts that share bytes but are no copies cost comparisons of each with all.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; null ids group
 with the rest and are never the smallest id unless all are null; repeated rows come back repeated (``near_dedup``
@@ -46,7 +48,9 @@ from tidemark.llm.exact_dedup import content_hash
 
 SEED, SHINGLE, RADIUS, MIN_SHARED = 42, 3, 2, 6
 #: The stage: bytes of a fingerprint, sets of positions and their size, words of a shingle, least cosine.
-WIDE, WIDE_KEYS, WIDE_BYTES, WIDE_SHINGLE, SIMILAR = 64, 96, 4, 5, 0.8
+WIDE, WIDE_KEYS, WIDE_BYTES, WIDE_SHINGLE, SIMILAR = 64, 80, 4, 5, 0.8
+#: The stage: shingles of a list that one task compares; longer lists are dealt to pairs of parts.
+TOGETHER = 250_000
 #: Rows up to which a counted table is broadcast.
 SMALL = 200_000
 #: Shingles whose bits are counted at a time.
@@ -170,7 +174,7 @@ def wide_fingerprint(text: str | None, known: dict[bytes, bytes]) -> np.ndarray:
             if d is None:
                 d = blake2b(w, digest_size=WIDE).digest()
                 if len(w) <= 32:
-                    if len(known) >= 200_000:
+                    if len(known) >= 50_000:
                         known.clear()
                     known[w] = d
             digests.append(d)
@@ -221,16 +225,53 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, least: float
     near = staged(_similar(stars.select("a", "b"), sets, least), "near")
     roots = components(near)
 
-    # Nodes outside their list's largest component against all nodes of others.
+    # In lists of several components, nodes outside the largest one against all nodes of others.
     placed = staged(shared.join(roots, "node", "left").select("key", "val", "node", F.coalesce("root", "node").alias("root")), "placed")
-    sizes = placed.groupBy("key", "val", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key", "val").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "val", "most")
-    open_ = staged(placed.join(largest, ["key", "val"]), "open")
-    left = open_.filter("root <> most").select("key", "val", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    others = open_.select("key", "val", F.col("node").alias("y"), F.col("root").alias("y_root"))
-    more = left.join(others, ["key", "val"]).filter("x_root <> y_root").groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("common"))
-    more = more.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    return components(near.unionByName(_similar(more, sets, least)))
+    open_ = placed.groupBy("key", "val").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 and lo <> hi").select("key", "val")
+    rows = staged(placed.join(open_, ["key", "val"]).join(sets, "node"), "open")
+    sizes = rows.groupBy("key", "val").agg(F.ceil(F.sum(F.size("sh")) / TOGETHER).cast("int").alias("parts"))
+    dealt = rows.join(sizes, ["key", "val"]).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    alone = dealt.filter("parts = 1").withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
+    beside = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    split = dealt.filter("parts > 1").select("*", beside.alias("other")).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other")
+    groups = alone.unionByName(split).groupBy("key", "val", "lo", "hi").agg(F.collect_list(F.struct("node", "root", "sh")).alias("members"))
+    # Python takes one group at a time: the arrays of a batch are bounded by its groups, and these by TOGETHER.
+    more = staged(groups.select("members").mapInArrow(_links_of_groups(least), "a long, b long").distinct(), "more")
+    return components(near.unionByName(more))
+
+
+def links_between(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links with a cosine of at least ``least`` between nodes of different components, one for each node and component."""
+    every, largest = np.unique(roots, return_counts=True)
+    main = every[largest.argmax()]
+    sizes = np.array([len(x) for x in sets])
+    owner, shingle = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle = owner[order], shingle[order]
+    out = {}
+    for k in np.flatnonzero(roots != main):
+        lo, hi = np.searchsorted(shingle, sets[k], "left"), np.searchsorted(shingle, sets[k], "right")
+        wide = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for x in np.flatnonzero((both >= least * np.sqrt(sizes * float(sizes[k])) - 1e-9) & (roots != roots[k])):
+            out.setdefault((nodes[k], roots[x]), (int(nodes[k]), int(nodes[x])))
+    return [*out.values()]
+
+
+def _links_of_groups(least: float):
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for members in batch.column(0):  # one list at a time
+                flat = members.values
+                sets = flat.field("sh")
+                ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+                found = links_between(flat.field("node").to_numpy(), flat.field("root").to_numpy(), [values[a:b] for a, b in zip(ends, ends[1:])], least)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
