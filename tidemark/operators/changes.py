@@ -52,6 +52,17 @@ def chunk_of(files: DataFrame, workers: int, n: int) -> DataFrame:
     return files.withColumn("chunk", F.floor(F.col("ord") / size).cast("int"))
 
 
+def registry_totals(registry: DataFrame) -> DataFrame:
+    """files, newest (time of the last change), bytes of a registry: one row."""
+    return registry.agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("newest"), F.sum("size").alias("bytes"))
+
+
+def split_report(reached: DataFrame, changed: DataFrame) -> DataFrame:
+    """path, why: whether a file that is reached changed itself or depends on one that did."""
+    there = changed.select("path", F.lit("changed").alias("why")).distinct()
+    return reached.select("path").join(there, "path", "left").select("path", F.coalesce("why", F.lit("dependent")).alias("why"))
+
+
 def cache_stats(parsed: int, total: int, parse_seconds: float = 0.0) -> dict[str, float]:
     cached = total - parsed
     return {"parsed": parsed, "cached": cached, "hit_rate": round(cached / total * 100, 2) if total else 0.0, "seconds_saved": parse_seconds / parsed * cached if parsed else 0.0}
@@ -59,3 +70,17 @@ def cache_stats(parsed: int, total: int, parse_seconds: float = 0.0) -> dict[str
 
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def union_set(*frames: DataFrame) -> DataFrame:
+    return union_all(*frames).distinct()
+
+
+def intersect_keys(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows, repeats included, whose key is also among the others."""
+    return rows.join(others, key, "left_semi")
+
+
+def except_keys(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows, repeats included, whose key is not among the others."""
+    return rows.join(others, key, "left_anti")

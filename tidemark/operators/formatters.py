@@ -22,7 +22,7 @@ def _first_seen(rows: DataFrame, col: str) -> DataFrame:
 
 
 def joined(rows: DataFrame, col: str, sep: str) -> DataFrame:
-    """One row, out: the values in the order of ord."""
+    """One row, out: the values in the order of ord. The one string is made in one task, so it has to fit there."""
     pairs = F.array_sort(F.collect_list(F.struct("ord", col)))
     return rows.agg(F.array_join(F.transform(pairs, lambda p: p[col]), sep).alias("out"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import class_of, is_test_class, short_name  # noqa: F401
-from tidemark.session import staged
+from tidemark.session import discard, staged
 
 #: Kinds of facts that make a dependency, by strategy.
 STRATEGIES = {
@@ -67,7 +67,8 @@ def closure(seeds: DataFrame, edges: DataFrame, small: int = SMALL_EDGES, max_ro
             return visited
         seen.append(new)
         if len(seen) > 16:  # few parts to scan
-            seen = [staged(visited, "visited"), new]
+            old, seen = seen[:-1], [staged(visited, "visited"), new]
+            discard(*old)
     raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
 
 

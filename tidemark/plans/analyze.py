@@ -56,12 +56,13 @@ class Options:
 
 @dataclass
 class Graph:
-    """The relations of a project: files (path, ord, mtime, size), facts, class index, dependencies, edges."""
+    """The relations of a project: files (path, ord, mtime, size), declared classes, class index, dependencies, calls, edges."""
 
     files: DataFrame
     declared: DataFrame
     index: DataFrame
     dependencies: DataFrame
+    calls: DataFrame
     stats: dict[str, float]
 
     @property
@@ -74,9 +75,14 @@ def _relations(facts: DataFrame, all_files: DataFrame, root: str, strategy: str)
     return extraction.declared(facts), deps
 
 
+def _calls(source: DataFrame) -> DataFrame:
+    return extraction.extract_calls(source).select("path", "caller", "callee")
+
+
 def build_graph(spark: SparkSession, root: str, store: Store | None = None, strategy: str = "conservative", parser: str = "token") -> Graph:
     """The graph of all files. With a store, files that kept time and size since the last run are not parsed again.
 
+    Calls are kept with the rest; without a store they are parsed only where they are asked for.
     The store does not note strategy and parser: a graph of others is used as it is (compatible).
     """
     source = files.source_files(spark, root)
@@ -86,14 +92,16 @@ def build_graph(spark: SparkSession, root: str, store: Store | None = None, stra
     if old is None:
         facts = staged(extraction.extract_facts(source, parser), "facts")
         declared, deps = _relations(facts, current, root, strategy)
-        index, parsed = graph.class_index(declared), total
+        index, parsed, calls = graph.class_index(declared), total, _calls(source)
         registry = current.select("path", "mtime", "size")
     else:
         diff = staged(changes.registry_diff(current, old["registry"]), "diff")
         changed = diff.filter("status <> 'deleted'").select("path")
         if diff.isEmpty():
-            return Graph(current, old["declared"], old["index"], old["dependencies"], changes.cache_stats(0, total))
-        facts = staged(extraction.extract_facts(source.join(changed, "path", "left_semi"), parser), "facts")
+            return Graph(current, old["declared"], old["index"], old["dependencies"], old["calls"], changes.cache_stats(0, total))
+        fresh = source.join(changed, "path", "left_semi")
+        facts = staged(extraction.extract_facts(fresh, parser), "facts")
+        calls = changes.merge_incremental(changes.prune(old["calls"], current), _calls(fresh), changed)
         fresh_declared, fresh_deps = _relations(facts, current, root, strategy)
         was = changes.prune(old["declared"], current)
         before = was.join(changed, "path", "left_semi").select("name")
@@ -103,10 +111,10 @@ def build_graph(spark: SparkSession, root: str, store: Store | None = None, stra
         parsed = changed.count()
         registry = changes.update_registry(current, old["registry"])
     if store:
-        store.save(registry=registry, declared=declared, index=index, dependencies=deps)
+        store.save(registry=registry, declared=declared, index=index, dependencies=deps, calls=calls)
         kept = store.load()
-        declared, index, deps = kept["declared"], kept["index"], kept["dependencies"]
-    return Graph(current, declared, index, deps, changes.cache_stats(parsed, total))
+        declared, index, deps, calls = kept["declared"], kept["index"], kept["dependencies"], kept["calls"]
+    return Graph(current, declared, index, deps, calls, changes.cache_stats(parsed, total))
 
 
 def changed_methods(source: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -130,6 +138,11 @@ def relevant_tests(changed: DataFrame, reached: DataFrame, calls: DataFrame, ind
     return staged(found, "found"), tests
 
 
+def report_counts(reached: DataFrame, changed: DataFrame) -> dict[str, int]:
+    """How many files of a report changed themselves, and how many depend on those."""
+    return {r.why: r["count"] for r in changes.split_report(reached, changed).groupBy("why").count().collect()}
+
+
 def _text(rows: DataFrame) -> str:
     return rows.first().out or ""
 
@@ -160,20 +173,25 @@ def analyze(spark: SparkSession, root: str, options: Options | None = None, stor
     if store and said.clear_cache:
         store.clear()
     built = build_graph(spark, root, store if said.cache else None, said.strategy, said.parser)
-    log.info("graph: %s", built.stats)
+    log.info("graph: %s", built.stats | (store.statistics() if said.cache and log.isEnabledFor(logging.INFO) else {}))
     by_file = formatters.formatter(said.output)
     custom = {"custom": said.test_pattern} if said.output == "phpunit" else {}
     if said.file_level:
         reached = graph.affected(changed.select(F.col("path").alias("node")), built.edges)
+        if log.isEnabledFor(logging.INFO):
+            reached = staged(reached, "reached")
+            log.info("files: %s", report_counts(reached.select(F.col("node").alias("path")), changed))
         return _text(by_file(_items(reached, "node"), **custom))
     source = files.source_files(spark, root)
     methods = staged(changed_methods(source, git.changed_hunks(spark, root, said.since, said.until, said.staged)), "methods")
     if methods.isEmpty():
         return _lacking("files changed, but no method")
-    calls = staged(extraction.extract_calls(source).select("path", "caller", "callee"), "calls")
+    calls = built.calls if said.cache else staged(built.calls, "calls")
     reached = staged(affected_methods(methods, calls), "reached")
     if said.output == "phpunit":
         found, tests = relevant_tests(methods, reached, calls, built.index)
+        if log.isEnabledFor(logging.INFO):
+            log.info("methods: %d changed, %d reached; tests: %d", methods.count(), reached.count(), found.count())
         if not found.isEmpty():
             return _text(formatters.format_phpunit_methods(_items(found, "test", "method")))
         return _lacking("no test was found")

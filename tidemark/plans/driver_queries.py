@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import patterns
 from tidemark.operators import changes, extraction, filters, formatters, graph, selection
+from tidemark.sources import git
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str]] = {}
@@ -105,10 +106,11 @@ def indirect_one_hop(spark, sf_dir):
 
 @query(f"WITH {_GRAPH} SELECT path, dep_name FROM refs")
 def incremental_merge(spark, sf_dir):
-    """A partial run over a change set equals a full one."""
+    """A partial run over a change set equals a full one; what was kept of changed pages is stale."""
     changed = table(spark, sf_dir, "pages").filter("page_id % 7 = 0").select(F.col("page_id").alias("path"))
     refs = references(spark, sf_dir)
-    return changes.merge_incremental(refs, refs.join(changed, "path", "left_semi"), changed)
+    stale = F.when(F.col("path") % 7 == 0, F.concat(F.lit("old/"), "dep_name")).otherwise(F.col("dep_name"))
+    return changes.merge_incremental(refs.withColumn("dep_name", stale), refs.join(changed, "path", "left_semi"), changed)
 
 
 @query(f"WITH {_GRAPH} SELECT CAST(count(*) AS BIGINT) AS n, string_agg(path || '::' || class_name, ' ' ORDER BY path, class_name) AS out FROM idx")
@@ -152,6 +154,44 @@ def source_method_lines(spark, sf_dir):
     return extraction.extract_method_lines(order_sources(spark, sf_dir)).select("path", "line", "method")
 
 
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, ord, code: a file for each part, with group imports, traits, interfaces, new, includes, comments and quoted code."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    code = F.format_string(
+        "<?php\nnamespace Part;\n// class No {} use No;\nuse Lib\\{A%1$d, In\\B as C%1$d};\n/* new No; */\ninterface I%1$d extends J {}\ntrait T%1$d {}\n"
+        "class P%1$d extends \\Base implements I%1$d, \\K\n{\n    use T%1$d, Far\\U;\n    function f()\n    {\n        include 'inc/../z%2$d.php';\n        $s = \"new No {$this->x}\";\n"
+        "        return new \\Made\\M%2$d(self::X, No::class ? 'use No;' : Other::make());\n    }\n}\n",
+        "k", "z",
+    )
+    return part.select(F.format_string("src/P%d.php", "k").alias("path"), F.col("k").alias("ord"), code.alias("code"), "z")
+
+
+@query(r"""WITH f AS (SELECT 'src/P' || p_partkey || '.php' AS path, p_partkey AS k, p_size AS z FROM part)
+SELECT path, kind, name FROM (SELECT path, unnest([
+  {'kind': 'use', 'name': 'Lib\A' || k}, {'kind': 'use', 'name': 'Lib\In\B'}, {'kind': 'declared', 'name': 'Part\I' || k}, {'kind': 'declared', 'name': 'Part\T' || k}, {'kind': 'declared', 'name': 'Part\P' || k},
+  {'kind': 'extends', 'name': 'J'}, {'kind': 'extends', 'name': 'Base'}, {'kind': 'implements', 'name': 'I' || k}, {'kind': 'implements', 'name': 'K'}, {'kind': 'trait', 'name': 'T' || k}, {'kind': 'trait', 'name': 'Part\Far\U'},
+  {'kind': 'include', 'name': 'inc/../z' || z || '.php'}, {'kind': 'var', 'name': '$s'}, {'kind': 'var', 'name': '$this'}, {'kind': 'new', 'name': 'Made\M' || z}, {'kind': 'static', 'name': 'No'}, {'kind': 'static', 'name': 'Other'}]) AS x FROM f) AS t, LATERAL (SELECT x.kind AS kind, x.name AS name)""")
+def source_facts_of_parts(spark, sf_dir):
+    """Facts of every kind; comments and quoted code give none."""
+    return extraction.extract_facts(part_sources(spark, sf_dir)).select("path", "kind", "name")
+
+
+@query("SELECT 'src/P' || p_partkey || '.php' AS path, 'src/z' || p_size || '.php' AS dep_name FROM part WHERE p_size < 20")
+def include_paths(spark, sf_dir):
+    """Included files by their path in the project; those that are not there drop out."""
+    sources = part_sources(spark, sf_dir)
+    there = sources.select(F.format_string("src/z%d.php", "z").alias("path"), "z").filter("z < 20").distinct()
+    return extraction.resolved_includes(extraction.extract_facts(sources), there, "/project")
+
+
+@query("SELECT 'src/P' || p_partkey || '.php' AS path, CAST(p_size AS INTEGER) AS start, CAST(p_partkey % 3 AS INTEGER) AS cnt FROM part UNION ALL SELECT 'src/P' || p_partkey || '.php', CAST(p_size + 100 AS INTEGER), 1 FROM part")
+def diff_hunks(spark, sf_dir):
+    """Hunks of a diff that changes every part's file in two places."""
+    part = table(spark, sf_dir, "part")
+    text = F.format_string("diff --git a/src/P%1$d.php b/src/P%1$d.php\n--- a/src/P%1$d.php\n+++ b/src/P%1$d.php\n@@ -1,2 +%2$d,%3$d @@ function f()\n-x\n+@@ y\n@@ -9 +%4$d @@\n+z", "p_partkey", "p_size", F.col("p_partkey") % 3, F.col("p_size") + 100)
+    return git.hunks_of_diffs(part.select(text.alias("diff")))
+
+
 # ---- filters and patterns ----
 
 
@@ -204,14 +244,15 @@ for _name, _of in graph.STRATEGIES.items():
     _in = ", ".join(f"'{t}'" for t, k in KINDS.items() if k in _of)
     query(f"SELECT DISTINCT user_id AS path, event_type AS dep_name FROM events WHERE event_type IN ({_in})")(_strategy(KINDS, _name))
 
-_CALLS = "calls AS (SELECT event_type AS caller, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS callee FROM events)"
+_CALLS = "calls AS (SELECT event_type AS caller, CASE nxt WHEN 'error' THEN '$it->' || nxt ELSE nxt END AS callee FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events))"
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Successive event types of a user as caller and callee."""
+    """Successive event types of a user as caller and callee; errors are called on a variable."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    return events.select(F.col("event_type").alias("caller"), F.lead("event_type").over(w).alias("callee")).filter("callee is not null")
+    pairs = events.select(F.col("event_type").alias("caller"), F.lead("event_type").over(w).alias("callee")).filter("callee is not null")
+    return pairs.withColumn("callee", F.when(F.col("callee") == "error", F.concat(F.lit("$it->"), "callee")).otherwise(F.col("callee")))
 
 
 @query(f"WITH {_CALLS} SELECT callee AS dependency, caller AS dependent, count(*) AS n FROM calls WHERE callee IS NOT NULL AND NOT contains(callee, '$') GROUP BY ALL")
@@ -219,19 +260,19 @@ def call_graph_reverse(spark, sf_dir):
     return graph.reverse_calls(calls(spark, sf_dir)).groupBy("dependency", "dependent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH RECURSIVE {_CALLS}, reach(node) AS (SELECT 'purchase' UNION SELECT c.caller FROM reach r JOIN calls c ON r.node = c.callee) SELECT node FROM reach")
+@query(f"WITH RECURSIVE {_CALLS}, reach(node) AS (SELECT 'purchase' UNION SELECT c.caller FROM reach r JOIN calls c ON r.node = c.callee AND NOT contains(c.callee, '$')) SELECT node FROM reach")
 def cyclic_closure(spark, sf_dir):
     seeds = spark.range(1).select(F.lit("purchase").alias("node"))
     return graph.affected(seeds, graph.reverse_calls(calls(spark, sf_dir)))
 
 
-_TESTS = "tests AS (SELECT 'O' || l_orderkey || '::test' AS test, 'P' || l_partkey || '::m' || l_linenumber AS callee FROM lineitem)"
+_TESTS = "tests AS (SELECT 'O' || l_orderkey || '::test' AS test, 'P' || l_partkey || '::m' || l_linenumber AS callee, CAST(l_suppkey AS VARCHAR) AS path FROM lineitem WHERE l_returnflag <> 'R')"
 
 
 def order_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as tests that call methods of parts."""
+    """Orders as tests that call methods of parts; lines that came back are calls of other methods, which are no tests."""
     rows = table(spark, sf_dir, "lineitem")
-    test = F.concat(F.lit("O"), rows.l_orderkey.cast("string"), F.lit("::test"))
+    test = F.concat(F.lit("O"), rows.l_orderkey.cast("string"), F.when(rows.l_returnflag == "R", "::run").otherwise("::test"))
     callee = F.concat(F.lit("P"), rows.l_partkey.cast("string"), F.lit("::m"), rows.l_linenumber.cast("string"))
     return selection.test_calls(rows.select(test.alias("caller"), callee.alias("callee"), rows.l_suppkey.cast("string").alias("path")))
 
@@ -257,10 +298,17 @@ def cascade_fallback(spark, sf_dir):
     return selection.cascade(
         selection.direct(tests, part_methods(spark, sf_dir, "p_size = 7", "none")),
         selection.by_class(tests, part_methods(spark, sf_dir, "p_size = 7")),
-        selection.direct(tests, part_methods(spark, sf_dir, "p_size < 50")),
+        selection.by_namespace(tests, spark.createDataFrame([("src/O/T.php",)], "path string")),
     )
 
 
+@query(f"WITH {_TESTS} SELECT DISTINCT path FROM tests WHERE callee IN (SELECT 'P' || p_partkey || '::m1' FROM part WHERE p_size < 3) OR test IN (SELECT test FROM tests WHERE callee IN (SELECT 'P' || p_partkey || '::m1' FROM part WHERE p_size < 3))")
+def test_to_file(spark, sf_dir):
+    """Files of the tests that were found."""
+    tests = order_tests(spark, sf_dir)
+    return selection.test_files(selection.direct(tests, part_methods(spark, sf_dir, "p_size < 3")), tests)
+
+
 NAMESPACES = ["src/Red/Widget.php", "lib/small/ring/economy.php", "app/blue/bolt/promo.php"]
 _HAS = lambda *ws: "(" + " + ".join(f"contains(lower(name), '{w}')::INT" for w in ws) + ") >= 2"
 
@@ -272,6 +320,16 @@ def namespace_match_two_components(spark, sf_dir):
     return selection.by_namespace(tests, spark.createDataFrame([(p,) for p in NAMESPACES], "path string"))
 
 
+@query(f"SELECT DISTINCT p_partkey || '/' || p_name || ' ' || p_type || '::test' AS test FROM (SELECT *, p_partkey || '/' || p_name || ' ' || p_type AS name FROM part) WHERE {_HAS('red', 'widget')} OR {_HAS('small', 'ring', 'economy')} OR {_HAS('blue', 'bolt', 'promo')}")
+def cascade_to_namespace(spark, sf_dir):
+    """Neither of the first two levels finds a test, so the namespaces answer."""
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.col("p_partkey").cast("string"), F.lit("/"), "p_name", F.lit(" "), "p_type", F.lit("::test"))
+    tests = part.select(name.alias("test"), F.lit("Other::m").alias("callee"))
+    none = part.select(F.lit("None::m").alias("method"))
+    return selection.cascade(selection.direct(tests, none), selection.by_class(tests, none), selection.by_namespace(tests, spark.createDataFrame([(p,) for p in NAMESPACES], "path string")))
+
+
 @query("SELECT DISTINCT p_brand || chr(92) || replace(p_type, ' ', chr(92)) AS name FROM part WHERE split_part(p_type, ' ', -1) IN ('PROMO', 'SMALL') UNION SELECT 'A' || chr(92) || 'B'")
 def short_to_full_names(spark, sf_dir):
     name = F.concat("p_brand", F.lit("\\"), F.translate("p_type", " ", "\\"))
@@ -290,27 +348,41 @@ def hunk_to_method(spark, sf_dir):
     return changes.hunk_methods(hunks, rows.select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.col("role").alias("method")))
 
 
-_OLD = "SELECT doc_id AS path, CAST(0 AS BIGINT) AS mtime, n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS size FROM documents WHERE doc_id % 13 <> 0"
+_NOW = "SELECT doc_id AS path, doc_id * 10 AS mtime, n_chars AS size FROM documents WHERE doc_id % 17 <> 0"
+_OLD = "SELECT doc_id AS path, doc_id * 10 - CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS mtime, n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS size FROM documents WHERE doc_id % 13 <> 0"
 
 
 def _registries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).cast("long").alias("mtime"), F.col("n_chars").alias("size"))
+    """Files as they are and as they were: some are new, some gone, some of another time, some of another size."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), (F.col("doc_id") * 10).alias("mtime"), F.col("n_chars").alias("size"))
     old = docs.filter("path % 13 <> 0").withColumn("size", F.col("size") + F.when(F.col("path") % 11 == 0, 1).otherwise(0))
-    return docs.filter("path % 17 <> 0"), old
+    return docs.filter("path % 17 <> 0"), old.withColumn("mtime", F.col("mtime") - F.when(F.col("path") % 5 == 0, 1).otherwise(0))
 
 
-@query(f"""WITH cur AS (SELECT doc_id AS path, CAST(0 AS BIGINT) AS mtime, n_chars AS size FROM documents WHERE doc_id % 17 <> 0), old AS ({_OLD})
+@query(f"""WITH cur AS ({_NOW}), old AS ({_OLD})
 SELECT coalesce(c.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN c.path IS NULL THEN 'deleted' ELSE 'modified' END AS status
-FROM cur c FULL JOIN old o ON c.path = o.path WHERE c.path IS NULL OR o.path IS NULL OR c.size IS DISTINCT FROM o.size""")
+FROM cur c FULL JOIN old o ON c.path = o.path WHERE c.path IS NULL OR o.path IS NULL OR c.size IS DISTINCT FROM o.size OR c.mtime IS DISTINCT FROM o.mtime""")
 def registry_diff(spark, sf_dir):
     return changes.registry_diff(*_registries(spark, sf_dir))
 
 
-@query(f"WITH cur AS (SELECT doc_id AS path, CAST(0 AS BIGINT) AS mtime, n_chars AS size FROM documents WHERE doc_id % 17 <> 0), old AS ({_OLD}) SELECT * FROM cur UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM cur)")
+@query(f"WITH cur AS ({_NOW}), old AS ({_OLD}) SELECT * FROM cur UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM cur)")
 def registry_update(spark, sf_dir):
     return changes.update_registry(*_registries(spark, sf_dir))
 
 
+@query(f"WITH cur AS ({_NOW}), old AS ({_OLD}) SELECT CAST(count(*) AS BIGINT) AS files, CAST(max(mtime) AS BIGINT) AS newest, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT * FROM cur UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM cur))")
+def registry_totals(spark, sf_dir):
+    return changes.registry_totals(changes.update_registry(*_registries(spark, sf_dir)))
+
+
+@query(f"WITH cur AS ({_NOW}), changed AS (SELECT path FROM cur WHERE path % 3 = 0), reached AS (SELECT path FROM cur WHERE path % 2 = 0) SELECT path, CASE WHEN path % 3 = 0 THEN 'changed' ELSE 'dependent' END AS why FROM reached")
+def changed_or_dependent(spark, sf_dir):
+    """Which files of a report changed themselves."""
+    now, _ = _registries(spark, sf_dir)
+    return changes.split_report(now.filter("path % 2 = 0").select("path"), now.filter("path % 3 = 0").select("path"))
+
+
 @query("SELECT doc_id AS path, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def prune_deleted(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "n_chars")
@@ -323,23 +395,23 @@ def chunk_assignment(spark, sf_dir):
     return changes.chunk_of(docs, 8, docs.count())
 
 
-@query("SELECT total, parsed, total - parsed AS cached, round((total - parsed) * 100.0 / total, 2) AS hit_rate FROM (SELECT count(*) AS total, (SELECT count(DISTINCT doc_id) FROM labels) AS parsed FROM documents)")
+@query("SELECT parsed, total - parsed AS cached, round((total - parsed) * 100.0 / total, 2) AS hit_rate, 2.0 / parsed * (total - parsed) AS seconds_saved FROM (SELECT count(*) AS total, (SELECT count(DISTINCT doc_id) FROM labels) AS parsed FROM documents)")
 def cache_statistics(spark, sf_dir):
-    total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("total"))
-    both = total.crossJoin(table(spark, sf_dir, "labels").agg(F.countDistinct("doc_id").alias("parsed")))  # single rows
-    cached = F.col("total") - F.col("parsed")
-    return both.select("total", "parsed", cached.alias("cached"), F.round(cached * 100.0 / F.col("total"), 2).cast("double").alias("hit_rate"))
+    """Labelled documents stand for parsed files, which took two seconds in all."""
+    parsed = table(spark, sf_dir, "labels").select("doc_id").distinct().count()
+    said = changes.cache_stats(parsed, table(spark, sf_dir, "documents").count(), 2.0)
+    return spark.createDataFrame([tuple(said.values())], "parsed long, cached long, hit_rate double, seconds_saved double")
 
 
 # ---- sets ----
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("nation"))
-    return c, table(spark, sf_dir, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("nation"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
+    return c, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
 
 
-_C, _S = "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9900", "SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 8000"
+_C, _S = "SELECT c_nationkey AS nation FROM customer", "SELECT s_nationkey AS nation FROM supplier"
 
 
 @query(f"{_C} UNION ALL {_S}")
@@ -349,38 +421,50 @@ def union_bag(spark, sf_dir):
 
 @query(f"{_C} UNION {_S}")
 def union_set(spark, sf_dir):
-    return changes.union_all(*_nations(spark, sf_dir)).distinct()
+    return changes.union_set(*_nations(spark, sf_dir))
 
 
 @query(f"SELECT nation FROM ({_C}) WHERE nation IN ({_S})")
 def intersect_keys(spark, sf_dir):
-    c, s = _nations(spark, sf_dir)
-    return c.join(s, "nation", "left_semi")
+    return changes.intersect_keys(*_nations(spark, sf_dir), "nation")
 
 
-@query(f"SELECT nation FROM ({_C}) WHERE nation NOT IN ({_S})")
+@query("SELECT c_custkey AS customer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def except_keys(spark, sf_dir):
-    c, s = _nations(spark, sf_dir)
-    return c.join(s, "nation", "left_anti")
+    """Customers without an order: nations would leave none."""
+    return changes.except_keys(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer")), "customer")
 
 
 # ---- formatting ----
 
 
-@query("SELECT string_agg('tests/P' || page_id || 'Test.php', ' ' ORDER BY page_id) || ' --filter ''/' || string_agg('test\\-' || page_id, '|' ORDER BY page_id) || '/''' AS out FROM pages")
+@query("""WITH p AS (SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'src/P' ELSE 'tests/P' END || page_id || CASE WHEN html LIKE '%<table%' THEN 'TestCase.php' ELSE 'Test.php' END AS path FROM pages)
+SELECT string_agg(path, ' ' ORDER BY page_id) || ' --filter ''/' || string_agg('test\\-' || page_id, '|' ORDER BY page_id) || '/''' AS out FROM p WHERE path NOT LIKE '%TestCase.php'""")
 def filter_string_aggregate(spark, sf_dir):
+    """Base classes of tests are no tests, wherever they lie; other files are by name."""
     page = F.col("page_id").cast("string")
-    items = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.concat(F.lit("tests/P"), page, F.lit("Test.php::test-"), page).alias("item"))
+    path = F.concat(F.when(F.col("url").endswith(".html"), "src/P").otherwise("tests/P"), page, F.when(F.contains("html", F.lit("<table")), "TestCase.php").otherwise("Test.php"))
+    items = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.concat(path, F.lit("::test-"), page).alias("item"))
     return formatters.format_phpunit(items)
 
 
-@query("SELECT '--filter ''/' || string_agg('P' || page_id || 'Test', '|' ORDER BY page_id) || '/''' AS out FROM pages")
+@query("SELECT '--filter ''/' || string_agg('P' || page_id || 'Test', '|' ORDER BY page_id) || '/''' AS out FROM pages WHERE url NOT LIKE '%.html'")
 def filter_method_aggregate(spark, sf_dir):
+    """Methods of classes that are no tests, and what is no method, drop out."""
     page = F.col("page_id").cast("string")
-    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.concat(F.lit("App\\P"), page, F.lit("Test::testIt")).alias("method"))
+    method = F.when(F.col("url").endswith(".html"), F.concat(F.lit("App\\P"), page, F.lit("Service::testIt"))).otherwise(F.concat(F.lit("App\\P"), page, F.lit("Test::testIt")))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.explode(F.array(method, F.concat(F.lit("P"), page, F.lit("Test")))).alias("method"))
     return formatters.format_phpunit_methods(rows)
 
 
+@query(f"WITH {_GRAPH} SELECT string_agg(path || '::run', ' ' ORDER BY path, class_name) AS out FROM idx")
+def file_method_aggregate(spark, sf_dir):
+    """Methods of classes without a file drop out."""
+    index = graph.class_index(declared(spark, sf_dir))
+    methods = index.select(F.struct("path", "class_name").alias("ord"), F.explode(F.array(F.concat("class_name", F.lit("::run")), F.concat(F.lit("no-"), "class_name", F.lit("::run")))).alias("method"))
+    return formatters.format_file_methods(methods, index.withColumn("path", F.col("path").cast("string")))
+
+
 @query("SELECT string_agg(CAST(page_id AS VARCHAR), ' ' ORDER BY page_id) AS out FROM pages")
 def plain_string_aggregate(spark, sf_dir):
     return formatters.format_plain(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("page_id").cast("string").alias("item")))

@@ -13,15 +13,36 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=said).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, a local one on a local master only."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back.
+
+    This cuts the lineage, so that a lost executor costs a read and not the work before it, and it
+    lets several later steps use the rows. The files go with ``discard``, or when the driver's JVM ends.
+    """
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of staged frames that nothing will read again, such as those of a finished round."""
+    for df in frames:
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _HUNK = re.compile(r"@@ -\S+ \+(\d+)(?:,(\d+))? @@")
@@ -48,6 +50,16 @@ def parse_hunks(diff: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def hunks_of_diffs(diffs: DataFrame) -> DataFrame:
+    """path, start, cnt of the hunks in each diff of a table (diff); a diff is parsed by itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([h for d in pdf["diff"] for h in parse_hunks(d or "")], columns=["path", "start", "cnt"])
+
+    return diffs.select("diff").mapInPandas(run, "path string, start int, cnt int")
+
+
 def changed_files(spark: SparkSession, root: str, since: str | None = None, until: str | None = None, staged: bool = False) -> DataFrame:
     names = [x.strip() for x in _run(names_command(since, until, staged), root).split("\n") if x.strip()]
     return spark.createDataFrame(list(enumerate(names)), "ord long, path string")

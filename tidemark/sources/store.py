@@ -10,7 +10,8 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-VERSION = 1
+#: 2: calls are kept too.
+VERSION = 2
 
 
 class Store:
@@ -51,5 +52,14 @@ class Store:
             return None
         return {name: self.spark.read.parquet(f"{self.folder}/{done[-1]}/{name}") for name in meta.relations}
 
+    def statistics(self) -> dict[str, float]:
+        """Files that are tracked, seconds since the last save, and bytes; nothing if there is no state."""
+        done = [s for s in self._states() if self._done(s)]
+        if not done:
+            return {}
+        meta = self.spark.read.parquet(f"{self.folder}/{done[-1]}/meta").first()
+        kept = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{done[-1]}")
+        return {"tracked": self.spark.read.parquet(f"{self.folder}/{done[-1]}/registry").count(), "age": round(time.time() - meta.saved, 1), "bytes": self._fs.getContentSummary(kept).getLength()}
+
     def clear(self) -> None:
         self._fs.delete(self._path, True)
