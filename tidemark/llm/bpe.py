@@ -12,8 +12,9 @@ Texts of characters below U+0250 (but for a few) take a plain path whose normali
 are written with ``re``; all others go through the library's own normaliser and splitter.
 
 Defined results: a null text is empty and gives no tokens and an empty decoded text; special
-strings in a text are special tokens, as in the library; rows repeat as they are; other columns do
-not matter.
+strings in a text are special tokens, as in the library; texts and words of any length are encoded whole; rows
+repeat as they are, those of a null id too; an empty table gives no rows; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations

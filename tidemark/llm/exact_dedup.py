@@ -9,7 +9,8 @@ adaptive execution splits the partition of a hot group.
 
 Defined results: a null text is an empty one, so null, '' and nothing-but-absent texts form one
 group; a null id is never the id that stays unless all ids of its group are null; of rows repeated
-with one id, exactly one is kept and all count in ``group_size``; an empty table gives no rows; further
+with one id, exactly one is kept and all count in ``group_size``; texts of any length are compared whole; an
+empty table gives no rows; further
 columns, whatever their names, do not matter and stay as they are in ``exact_dedup``.
 """
 

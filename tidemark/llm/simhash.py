@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ids_repeat, map_batches, staged, unused, whole
+from tidemark.llm.common import discard, ids_repeat, map_batches, staged, unused, whole
 from tidemark.llm.exact_dedup import content_hash
 
 SEED, SHINGLE, RADIUS, MIN_SHARED = 42, 3, 2, 6
@@ -137,7 +137,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = staged(large.filter("a <> b").distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = staged(small.filter("a <> b").distinct(), "small-star")
+        before, now = now, staged(small.filter("a <> b").distinct(), "small-star")
+        discard(before, large)  # what came of a round stands on its own
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 

@@ -9,10 +9,12 @@ later fetches it again) and memory-mapped by its workers. A url probes one key f
 host suffix and a path length that rules have; a digest that is found counts only if the stored
 full string is the same, so collisions cannot decide. No row moves: the plan has no shuffle.
 
-The rules are a driver-side list of at most ``MAX_RULES``; a longer list is refused.
+The rules are a driver-side list of at most ``MAX_RULES``; a longer list is refused with an error.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule;
-white space, ports and user names in a host stay as they are; repeated rows come back repeated.
+white space, ports and user names in a host stay as they are; urls of any length are judged whole; repeated rows come
+back repeated, those of a null id too; an empty table gives no rows, and no rules give every url the default; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
