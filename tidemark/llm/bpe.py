@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import map_batches
 
 #: Symbols of a pre-token that are encoded at once; pre-tokens kept in a worker's table.
-LEAF, KEPT = 256, 400_000
+LEAF, KEPT = 256, 150_000
 
 
 def _byte_symbols() -> list[str]:

@@ -175,7 +175,7 @@ def wide_fingerprint(text: str | None, known: dict[bytes, bytes]) -> np.ndarray:
             if d is None:
                 d = blake2b(w, digest_size=WIDE).digest()
                 if len(w) <= 32:
-                    if len(known) >= 50_000:
+                    if len(known) >= 20_000:
                         known.clear()
                     known[w] = d
             digests.append(d)
