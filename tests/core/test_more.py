@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import session
 from tidemark.functions.facts import facts
 from tidemark.functions.tokens import tokenize
-from tidemark.operators import changes, extraction, selection
+from tidemark.operators import changes, extraction, graph, selection
 from tidemark.plans.analyze import build_graph, report_counts
 from tidemark.sources import files, git
 from tidemark.sources.store import Store
@@ -107,3 +107,28 @@ def test_staged_files_go(spark):
     assert os.path.isdir(path) and df.count() == 3
     session.discard(df)
     assert not os.path.exists(path)
+
+
+def test_registry_lookup_and_counts(spark):
+    registry = spark.createDataFrame([("a", 1, 2)], "path string, mtime long, size long")
+    asked = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert sorted(tuple(r) for r in changes.registry_lookup(registry, asked).collect()) == [("a", True, 1, 2), ("b", False, None, None)]
+    methods = spark.createDataFrame([("a", "X::f"), ("a", "X::f"), ("b", "X::f"), ("b", "g")], "path string, method string")
+    assert tuple(changes.method_counts(methods).first()) == (2, 3)
+    assert tuple(changes.method_counts(methods.filter("false")).first()) == (0, 0)
+
+
+def test_files_of_reached_methods(spark):
+    changed = spark.createDataFrame([("a.php", "X::f"), ("a.php", "g")], "path string, method string")
+    reached = spark.createDataFrame([("X::f",), ("Y::h",), ("Y::i",), ("g",), ("Z::j",)], "method string")
+    index = spark.createDataFrame([("X", "a.php"), ("Y", "y.php"), ("g", "no.php")], "class_name string, path string")
+    assert sorted(r.path for r in graph.affected_files(changed, reached, index).collect()) == ["a.php", "y.php"]
+
+
+def test_a_temporary_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), temporary=True)
+    rows = spark.createDataFrame([("a", 1, 2)], "path string, mtime long, size long")
+    assert store.load() is None and store.states() == []
+    for _ in range(3):
+        store.save(registry=rows)
+    assert len(store.states()) == 2 and store.load()["registry"].collect() == rows.collect()

@@ -57,6 +57,18 @@ def registry_totals(registry: DataFrame) -> DataFrame:
     return registry.agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("newest"), F.sum("size").alias("bytes"))
 
 
+def registry_lookup(registry: DataFrame, paths: DataFrame) -> DataFrame:
+    """path, known, mtime, size for each of the paths; an unknown one has neither time nor size."""
+    there = registry.select("path", "mtime", "size", F.lit(True).alias("known"))
+    return paths.select("path").join(there, "path", "left").select("path", F.coalesce("known", F.lit(False)).alias("known"), "mtime", "size")
+
+
+def method_counts(methods: DataFrame) -> DataFrame:
+    """files, methods of changed methods (path, method): one row. A method counts once in each of its files."""
+    by_file = methods.groupBy("path").agg(F.count_distinct("method").alias("n"))
+    return by_file.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("methods"))
+
+
 def split_report(reached: DataFrame, changed: DataFrame) -> DataFrame:
     """path, why: whether a file that is reached changed itself or depends on one that did."""
     there = changed.select("path", F.lit("changed").alias("why")).distinct()

@@ -68,6 +68,11 @@ def declared(facts: DataFrame) -> DataFrame:
     return facts.filter("kind = 'declared'").select("path", "ord", "name")
 
 
+def includes(facts: DataFrame) -> DataFrame:
+    """path, name: what is included, as it is written."""
+    return facts.filter("kind = 'include'").select("path", "name")
+
+
 def _normal(path: Column) -> Column:
     """A relative path without empty, ``.`` and, where there is a folder to leave, ``..`` segments."""
 
@@ -82,7 +87,7 @@ def resolved_includes(facts: DataFrame, files: DataFrame, root: str) -> DataFram
     """path, dep_name: included files by their path in the project. Absolute paths are taken as they are, relative
     ones from the including file, and those that lead to no file of the project drop out."""
     top = root.rstrip("/") + "/"
-    rows = facts.filter("kind = 'include'").select("path", "name")
+    rows = includes(facts)
     absolute = rows.filter(F.startswith("name", F.lit("/"))).select("path", F.when(F.startswith("name", F.lit(top)), F.substring("name", len(top) + 1, 1 << 30)).otherwise(F.col("name")).alias("dep_name"))
     folder = F.regexp_replace("path", "[^/]*$", "")
     relative = rows.filter(~F.startswith("name", F.lit("/"))).select("path", _normal(F.concat(folder, "name")).alias("dep_name"))

@@ -114,6 +114,12 @@ def methods_to_files(methods: DataFrame, index: DataFrame) -> DataFrame:
     return rows.join(index, "class_name").select("ord", F.concat_ws("::", "path", "rest").alias("item"))
 
 
+def affected_files(changed: DataFrame, reached: DataFrame, index: DataFrame) -> DataFrame:
+    """path: the files that changed, and those of the classes whose methods are reached; functions have no class."""
+    owners = reached.filter(F.col("method").contains("::")).select(class_of(F.col("method")).alias("class_name")).join(index, "class_name").select("path")
+    return changed.select("path").unionByName(owners).distinct()
+
+
 def full_names(names: DataFrame, index: DataFrame) -> DataFrame:
     """name: qualified names as they are, short ones as all classes of that last segment."""
     qualified = names.filter(F.col("name").contains("\\")).select("name")

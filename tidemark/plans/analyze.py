@@ -70,7 +70,8 @@ class Graph:
         return graph.reverse_edges(self.dependencies, self.index)
 
 
-def _relations(facts: DataFrame, all_files: DataFrame, root: str, strategy: str) -> tuple[DataFrame, DataFrame]:
+def relations(facts: DataFrame, all_files: DataFrame, root: str, strategy: str) -> tuple[DataFrame, DataFrame]:
+    """Declared classes, and dependencies by the strategy with the included files."""
     deps = graph.dependency_set(facts, strategy).unionByName(extraction.resolved_includes(facts, all_files, root))
     return extraction.declared(facts), deps
 
@@ -91,7 +92,7 @@ def build_graph(spark: SparkSession, root: str, store: Store | None = None, stra
     old = store.load() if store else None
     if old is None:
         facts = staged(extraction.extract_facts(source, parser), "facts")
-        declared, deps = _relations(facts, current, root, strategy)
+        declared, deps = relations(facts, current, root, strategy)
         index, parsed, calls = graph.class_index(declared), total, _calls(source)
         registry = current.select("path", "mtime", "size")
     else:
@@ -102,7 +103,7 @@ def build_graph(spark: SparkSession, root: str, store: Store | None = None, stra
         fresh = source.join(changed, "path", "left_semi")
         facts = staged(extraction.extract_facts(fresh, parser), "facts")
         calls = changes.merge_incremental(changes.prune(old["calls"], current), _calls(fresh), changed)
-        fresh_declared, fresh_deps = _relations(facts, current, root, strategy)
+        fresh_declared, fresh_deps = relations(facts, current, root, strategy)
         was = changes.prune(old["declared"], current)
         before = was.join(changed, "path", "left_semi").select("name")
         index = changes.merge_class_index(changes.prune(old["index"], current), before, graph.class_index(fresh_declared))
@@ -195,5 +196,4 @@ def analyze(spark: SparkSession, root: str, options: Options | None = None, stor
         if not found.isEmpty():
             return _text(formatters.format_phpunit_methods(_items(found, "test", "method")))
         return _lacking("no test was found")
-    owners = reached.filter(F.col("method").contains("::")).select(filters.class_of(F.col("method")).alias("class_name")).join(built.index, "class_name").select("path")
-    return _text(by_file(_items(methods.select("path").unionByName(owners).distinct())))
+    return _text(by_file(_items(graph.affected_files(methods, reached, built.index))))

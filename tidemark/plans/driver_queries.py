@@ -6,6 +6,7 @@ in its links; the last page that declares a name owns it. Events of a user stand
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import patterns
 from tidemark.operators import changes, extraction, filters, formatters, graph, selection
+from tidemark.plans import analyze
+from tidemark.session import shared_dir
 from tidemark.sources import git
+from tidemark.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str]] = {}
@@ -113,6 +117,16 @@ def incremental_merge(spark, sf_dir):
     return changes.merge_incremental(refs.withColumn("dep_name", stale), refs.join(changed, "path", "left_semi"), changed)
 
 
+@query(f"""WITH {_GRAPH}, old AS (SELECT name FROM declared WHERE path % 7 = 0), fresh AS (SELECT CASE WHEN path % 2 = 0 THEN 'New' || name ELSE name END AS class_name, max(path) AS path FROM declared WHERE path % 7 = 0 GROUP BY ALL)
+SELECT class_name, path FROM idx WHERE class_name NOT IN (SELECT name FROM old) AND class_name NOT IN (SELECT class_name FROM fresh) UNION ALL SELECT class_name, path FROM fresh""")
+def class_index_incremental(spark, sf_dir):
+    """Changed pages give up their old names, some take new ones; the rest of the index stays."""
+    was = declared(spark, sf_dir)
+    before = was.filter("path % 7 = 0")
+    fresh = before.withColumn("name", F.when(F.col("path") % 2 == 0, F.concat(F.lit("New"), "name")).otherwise(F.col("name")))
+    return changes.merge_class_index(graph.class_index(was), before.select("name"), graph.class_index(fresh))
+
+
 @query(f"WITH {_GRAPH} SELECT CAST(count(*) AS BIGINT) AS n, string_agg(path || '::' || class_name, ' ' ORDER BY path, class_name) AS out FROM idx")
 def method_to_file_output(spark, sf_dir):
     index = graph.class_index(declared(spark, sf_dir))
@@ -176,6 +190,21 @@ def source_facts_of_parts(spark, sf_dir):
     return extraction.extract_facts(part_sources(spark, sf_dir)).select("path", "kind", "name")
 
 
+@query(r"""WITH f AS (SELECT 'src/P' || p_partkey || '.php' AS path, p_partkey AS k, p_size AS z FROM part)
+SELECT path, kind, name FROM (SELECT path, unnest([
+  {'kind': 'use', 'name': 'Lib\A' || k}, {'kind': 'use', 'name': 'Lib\In\B'}, {'kind': 'declared', 'name': 'Part\I' || k}, {'kind': 'declared', 'name': 'Part\T' || k}, {'kind': 'declared', 'name': 'Part\P' || k},
+  {'kind': 'extends', 'name': 'J'}, {'kind': 'extends', 'name': 'Base'}, {'kind': 'implements', 'name': 'I' || k}, {'kind': 'implements', 'name': 'K'}, {'kind': 'trait', 'name': 'T' || k}, {'kind': 'trait', 'name': 'Part\Far\U'},
+  {'kind': 'include', 'name': 'inc/../z' || z || '.php'}, {'kind': 'new', 'name': 'Made\M' || z}, {'kind': 'static', 'name': 'Other'}]) AS x FROM f) AS t, LATERAL (SELECT x.kind AS kind, x.name AS name)""")
+def syntax_facts_of_parts(spark, sf_dir):
+    """As a syntax tree has it, constants are no static calls and variables count only where a method is called on them."""
+    return extraction.extract_facts(part_sources(spark, sf_dir), "ast").select("path", "kind", "name")
+
+
+@query("SELECT 'src/P' || p_partkey || '.php' AS path, 'inc/../z' || p_size || '.php' AS name FROM part")
+def raw_includes(spark, sf_dir):
+    return extraction.includes(extraction.extract_facts(part_sources(spark, sf_dir)))
+
+
 @query("SELECT 'src/P' || p_partkey || '.php' AS path, 'src/z' || p_size || '.php' AS dep_name FROM part WHERE p_size < 20")
 def include_paths(spark, sf_dir):
     """Included files by their path in the project; those that are not there drop out."""
@@ -192,9 +221,50 @@ def diff_hunks(spark, sf_dir):
     return git.hunks_of_diffs(part.select(text.alias("diff")))
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) + 1 + 4 * row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS line FROM lineitem)
+SELECT DISTINCT 'O' || l_orderkey || '.php' AS path, 'O' || l_orderkey || '::m' || l_linenumber AS method FROM l JOIN orders ON l_orderkey = o_orderkey WHERE line <= o_custkey % 30 + 3 AND line + 2 >= o_custkey % 30""")
+def changed_methods_of_diff(spark, sf_dir):
+    """Each order's file is changed in four lines; changes of other files, and of files that are not there, give nothing."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), (F.col("o_custkey") % 30).alias("start"))
+    names = F.explode(F.array(F.concat(F.lit("O"), "k", F.lit(".php")), F.concat(F.lit("O"), "k", F.lit(".txt")), F.concat(F.lit("Gone"), "k", F.lit(".php"))))
+    return analyze.changed_methods(order_sources(spark, sf_dir), orders.select(names.alias("path"), "start", F.lit(4).alias("cnt")))
+
+
+@query("WITH m AS (SELECT DISTINCT l_suppkey AS path, l_partkey AS method FROM lineitem) SELECT count(DISTINCT path) AS files, count(*) AS methods FROM m")
+def changed_method_counts(spark, sf_dir):
+    return changes.method_counts(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("method")))
+
+
+@query("SELECT DISTINCT 'C' || o_custkey || '.php' AS dependency, 'O' || o_orderkey || '.php' AS dependent FROM orders UNION ALL SELECT 'C' || c_custkey || '.php', 'C' || (c_custkey + 1) || '.php' FROM customer WHERE c_custkey < (SELECT max(c_custkey) FROM customer)")
+def project_edges(spark, sf_dir):
+    """From source text to reverse edges: an order's class imports and extends its customer's, and each customer's is made by the next."""
+    one = table(spark, sf_dir, "customer").select(F.format_string("C%d.php", "c_custkey").alias("path"), F.col("c_custkey").alias("ord"), F.format_string("<?php namespace Shop; class C%d { function f() { return new \\Shop\\C%d(); } }", "c_custkey", F.col("c_custkey") - 1).alias("code"))
+    two = table(spark, sf_dir, "orders").select(F.format_string("O%d.php", "o_orderkey").alias("path"), F.col("o_orderkey").alias("ord"), F.format_string("<?php use Shop\\C%1$d; class O%2$d extends \\Shop\\C%1$d {}", "o_custkey", "o_orderkey").alias("code"))
+    sources = one.unionByName(two)
+    found, deps = analyze.relations(extraction.extract_facts(sources), sources, "/project", "conservative")
+    return graph.reverse_edges(deps, graph.class_index(found))
+
+
 # ---- filters and patterns ----
 
 
+_ODD = "CASE p_partkey % 6 WHEN 0 THEN 'vendor/' WHEN 1 THEN 'src/vendor/' WHEN 2 THEN 'src/x/cache/' WHEN 3 THEN 'var' WHEN 4 THEN '/lib/' ELSE 'src/' END || 'P' || p_partkey || CASE WHEN p_size < 10 THEN '.inc' ELSE '.php' END"
+
+
+@query(f"SELECT path, regexp_matches(path, '[.]php$') AND NOT regexp_matches(path, '(^|/)(vendor|cache)/') AS walked, regexp_matches(path, '[.]php$') AND NOT regexp_matches(path, '^vendor/') AS scanned FROM (SELECT {_ODD} AS path FROM part)")
+def scan_predicates(spark, sf_dir):
+    """A walk of folders leaves out skipped ones at any depth, the test of a single file only those at the top."""
+    path = F.col("path")
+    rows = table(spark, sf_dir, "part").select(F.expr(_ODD).alias("path"))
+    return rows.select("path", (filters.has_suffix(path) & ~filters.in_skipped_folder(path)).alias("walked"), filters.should_scan(path).alias("scanned"))
+
+
+@query(f"SELECT path, CASE WHEN path LIKE '/%' THEN path ELSE '/project/' || path END AS full_path FROM (SELECT {_ODD} AS path FROM part)")
+def absolute_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.expr(_ODD).alias("path"))
+    return rows.select("path", filters.absolute(F.col("path"), "/project/").alias("full_path"))
+
+
 @query("SELECT page_id, url FROM pages WHERE url LIKE '%.html'")
 def scan_suffix_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter(filters.has_suffix(F.col("url"), ".html")).select("page_id", "url")
@@ -309,6 +379,52 @@ def test_to_file(spark, sf_dir):
     return selection.test_files(selection.direct(tests, part_methods(spark, sf_dir, "p_size < 3")), tests)
 
 
+def _service_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, caller, callee: tests of orders call their suppliers and other methods of parts; suppliers call the parts of seventh lines."""
+    line = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("string").alias(n) for c, n in (("l_orderkey", "o"), ("l_suppkey", "s"), ("l_partkey", "p"))], "l_linenumber")
+    test, service = F.concat(F.lit("O"), "o", F.lit("Test::testIt")), F.concat(F.lit("S"), "s", F.lit("::run"))
+    file = F.concat(F.lit("tests/O"), "o", F.lit("Test.php"))
+    one = line.select(file.alias("path"), test.alias("caller"), F.explode(F.array(service, F.concat(F.lit("P"), "p", F.lit("::other")))).alias("callee"))
+    two = line.filter("l_linenumber = 7").select(F.concat(F.lit("src/S"), "s", F.lit(".php")).alias("path"), service.alias("caller"), F.concat(F.lit("P"), "p", F.lit("::m1")).alias("callee"))
+    return one.unionByName(two)
+
+
+def _changed_parts(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part").filter("p_size = 1").select(F.concat(F.lit("src/P"), key, F.lit(".php")).alias("path"), F.concat(F.lit("P"), key, F.lit("::" + method)).alias("method"))
+
+
+def _part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """class_name, path: parts and suppliers have a class with a file, but for parts of size 1 with an even key."""
+    key, supplier = F.col("p_partkey").cast("string"), F.col("s_suppkey").cast("string")
+    parts = table(spark, sf_dir, "part").filter("p_size <> 1 or p_partkey % 2 = 1").select(F.concat(F.lit("P"), key).alias("class_name"), F.concat(F.lit("src/P"), key, F.lit(".php")).alias("path"))
+    return parts.unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), supplier).alias("class_name"), F.concat(F.lit("src/S"), supplier, F.lit(".php")).alias("path")))
+
+
+_SUPPLIERS = "SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1)"
+
+
+@query(f"SELECT DISTINCT 'O' || l_orderkey || 'Test::testIt' AS test FROM lineitem WHERE l_suppkey IN ({_SUPPLIERS})")
+def tests_of_reached_methods(spark, sf_dir):
+    """The first level asks for all that the changed methods reach, so tests of services of the parts are found."""
+    calls_, changed = _service_calls(spark, sf_dir), _changed_parts(spark, sf_dir, "m1")
+    return analyze.relevant_tests(changed, analyze.affected_methods(changed, calls_), calls_, _part_index(spark, sf_dir))[0]
+
+
+@query("SELECT DISTINCT 'O' || l_orderkey || 'Test::testIt' AS test FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 1 AND p_partkey % 2 = 1")
+def tests_of_changed_classes(spark, sf_dir):
+    """Nobody calls the changed methods, so tests of the classes of these are found; classes that the index lacks drop out."""
+    calls_, changed = _service_calls(spark, sf_dir), _changed_parts(spark, sf_dir, "unused")
+    return analyze.relevant_tests(changed, analyze.affected_methods(changed, calls_), calls_, _part_index(spark, sf_dir))[0]
+
+
+@query(f"SELECT 'src/P' || p_partkey || '.php' AS path FROM part WHERE p_size = 1 UNION SELECT 'src/S' || l_suppkey || '.php' FROM ({_SUPPLIERS})")
+def affected_files_of_methods(spark, sf_dir):
+    """Files that changed and files of the classes that are reached; tests have none here."""
+    calls_, changed = _service_calls(spark, sf_dir), _changed_parts(spark, sf_dir, "m1")
+    return graph.affected_files(changed, analyze.affected_methods(changed, calls_), _part_index(spark, sf_dir))
+
+
 NAMESPACES = ["src/Red/Widget.php", "lib/small/ring/economy.php", "app/blue/bolt/promo.php"]
 _HAS = lambda *ws: "(" + " + ".join(f"contains(lower(name), '{w}')::INT" for w in ws) + ") >= 2"
 
@@ -376,6 +492,22 @@ def registry_totals(spark, sf_dir):
     return changes.registry_totals(changes.update_registry(*_registries(spark, sf_dir)))
 
 
+@query(f"WITH cur AS ({_NOW}) SELECT doc_id AS path, cur.path IS NOT NULL AS known, mtime, size FROM labels LEFT JOIN cur ON doc_id = cur.path")
+def registry_lookup(spark, sf_dir):
+    """What is known of the labelled documents."""
+    return changes.registry_lookup(_registries(spark, sf_dir)[0], table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path")))
+
+
+@query(f"WITH cur AS ({_NOW}), old AS ({_OLD}) SELECT * FROM cur UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM cur)")
+def registry_kept_between_runs(spark, sf_dir):
+    """A run saves the registry as it was, the next one loads it, brings it up to date, saves and loads it again."""
+    now, old = _registries(spark, sf_dir)
+    store = Store(spark, f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}", temporary=True)
+    store.save(registry=old)
+    store.save(registry=changes.update_registry(now, store.load()["registry"]))
+    return store.load()["registry"]
+
+
 @query(f"WITH cur AS ({_NOW}), changed AS (SELECT path FROM cur WHERE path % 3 = 0), reached AS (SELECT path FROM cur WHERE path % 2 = 0) SELECT path, CASE WHEN path % 3 = 0 THEN 'changed' ELSE 'dependent' END AS why FROM reached")
 def changed_or_dependent(spark, sf_dir):
     """Which files of a report changed themselves."""

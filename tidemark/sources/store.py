@@ -15,10 +15,12 @@ VERSION = 2
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, temporary: bool = False):
+        """A temporary folder goes when the driver's JVM ends."""
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.temporary = temporary
 
     def _states(self) -> list[str]:
         if not self._fs.exists(self._path):
@@ -34,6 +36,8 @@ class Store:
 
     def save(self, **relations: DataFrame) -> None:
         now = time.time_ns()
+        if self.temporary and self._fs.mkdirs(self._path):
+            self._fs.deleteOnExit(self._path)
         state = f"state-{now:020d}"
         for name, rows in relations.items():
             rows.write.parquet(f"{self.folder}/{state}/{name}")
@@ -44,7 +48,7 @@ class Store:
 
     def load(self) -> dict[str, DataFrame] | None:
         """The newest whole state; None if there is none or it is of another version."""
-        done = [s for s in self._states() if self._done(s)]
+        done = self.states()
         if not done:
             return None
         meta = self.spark.read.parquet(f"{self.folder}/{done[-1]}/meta").first()
@@ -54,12 +58,16 @@ class Store:
 
     def statistics(self) -> dict[str, float]:
         """Files that are tracked, seconds since the last save, and bytes; nothing if there is no state."""
-        done = [s for s in self._states() if self._done(s)]
+        done = self.states()
         if not done:
             return {}
         meta = self.spark.read.parquet(f"{self.folder}/{done[-1]}/meta").first()
         kept = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{done[-1]}")
         return {"tracked": self.spark.read.parquet(f"{self.folder}/{done[-1]}/registry").count(), "age": round(time.time() - meta.saved, 1), "bytes": self._fs.getContentSummary(kept).getLength()}
 
+    def states(self) -> list[str]:
+        """Names of the whole states that are kept, oldest first."""
+        return [s for s in self._states() if self._done(s)]
+
     def clear(self) -> None:
         self._fs.delete(self._path, True)
