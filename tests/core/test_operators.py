@@ -31,6 +31,29 @@ def test_closure_by_search(spark, small):
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_closure_of_long_chains(spark):
+    """A round for each hop would take thousands of jobs."""
+    chain, ring, side = [(k, k + 1) for k in range(3000)], [(10_000 + k, 10_000 + (k + 1) % 700) for k in range(700)], [(1500, 20_000), (20_000, 20_001), (None, 5), (5, None)]
+    seeds = [(0, 0), (1, 1499), (2, 10_350), (3, 2999), (4, 99_999), (5, None), (None, 7)]
+    got = graph.closure(rows(spark, seeds, "root long, node long"), rows(spark, chain + ring + side, "dependency long, dependent long"), small=0).collect()
+    more = [20_000, 20_001]
+    want = {0: [*range(3001), *more], 1: [*range(1499, 3001), *more], 2: [*range(10_000, 10_700)], 3: [2999, 3000], 4: [99_999]}
+    assert sorted(tuple(r) for r in got) == sorted((root, x) for root, nodes in want.items() for x in nodes)
+
+
+def test_shortcuts_are_reachable(spark):
+    edges = rows(spark, [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (5, 7), (8, 9), (9, 8)], "dependency long, dependent long")
+    got = [sorted(tuple(r) for r in s.collect()) for s in graph.shortcuts(edges)]
+    assert got[:2] == [[(1, 3), (2, 4), (3, 5), (8, 8), (9, 9)], [(1, 5), (8, 8), (9, 9)]]
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_closure_leaves_nulls_out(spark, small):
+    edges = rows(spark, [("a", "b"), (None, "c"), ("b", None)], "dependency string, dependent string")
+    got = graph.closure(rows(spark, [("r", "a"), (None, "a"), ("r", None)], "root string, node string"), edges, small=small)
+    assert sorted(tuple(r) for r in got.collect()) == [("r", "a"), ("r", "b")]
+
+
 def test_last_file_owns_a_class(spark):
     declared = rows(spark, [("a", 1, "X"), ("b", 2, "X"), ("a", 1, "Y")], "path string, ord long, name string")
     assert {tuple(r) for r in graph.class_index(declared).collect()} == {("X", "b"), ("Y", "a")}

@@ -19,6 +19,8 @@ STRATEGIES = {
 }
 #: Edges up to which a counted graph is walked in memory by each task; beyond it the frontier is joined.
 SMALL_EDGES = 200_000
+#: Pairs up to which a counted round is broadcast to pick its like out of the visited ones.
+SMALL_ROUND = 200_000
 
 
 def class_index(declared: DataFrame) -> DataFrame:
@@ -45,31 +47,56 @@ def reverse_calls(calls: DataFrame) -> DataFrame:
     return calls.filter(~F.col("callee").contains("$")).select(F.col("callee").alias("dependency"), F.col("caller").alias("dependent"))
 
 
-def closure(seeds: DataFrame, edges: DataFrame, small: int = SMALL_EDGES, max_rounds: int = 10_000) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """root, node: all that each root reaches, itself included, over edges (dependency, dependent).
 
-    Cycles, self edges, repeated edges and roots without edges are fine. ``seeds`` has root and node. A
-    graph of up to ``small`` distinct edges goes to the tasks, which walk it for their share of the
-    roots; a larger one is joined with the frontier, round by round, each round staged.
+    Cycles, self edges, repeated edges and roots without edges are fine; edges and seeds with a null are left
+    out. ``seeds`` has root and node. A graph of up to ``small`` distinct edges goes to the tasks, which walk it
+    for their share of the roots; a larger one is joined with the frontier, round by round, each round staged.
+    ``shortcuts`` take a round's frontier along chains, so a chain of n nodes needs about log2(n) rounds; where paths branch
+    at every node, there is a round for each hop.
     """
     edges = staged(edges.filter("dependency is not null and dependent is not null and dependency <> dependent").select("dependency", "dependent").distinct(), "edges")
-    seeds = seeds.select("root", "node").distinct()
+    seeds = seeds.select("root", "node").filter("root is not null and node is not null").distinct()
     if edges.count() <= small:
         return _walk(seeds, edges)
+    for more in shortcuts(edges):
+        edges = edges.unionByName(more)
     seen = [staged(seeds, "frontier")]
-    for _ in range(max_rounds):
+    while True:  # a round adds a pair at least, or is the last
         visited = seen[0]
         for more in seen[1:]:
             visited = visited.unionByName(more)
-        reached = seen[-1].join(edges, F.col("node") == F.col("dependency")).select("root", F.col("dependent").alias("node")).distinct()
-        new = staged(reached.join(visited, ["root", "node"], "left_anti"), "frontier")
+        reached = staged(seen[-1].join(edges, F.col("node") == F.col("dependency")).select("root", F.col("dependent").alias("node")).distinct(), "reached")
+        # A small round picks what it has to compare with out of the visited pairs, which then are not shuffled.
+        known = visited.join(F.broadcast(reached), ["root", "node"], "left_semi") if reached.count() <= SMALL_ROUND else visited
+        new = staged(reached.join(known, ["root", "node"], "left_anti"), "frontier")
+        discard(reached)
         if new.isEmpty():
             return visited
         seen.append(new)
         if len(seen) > 16:  # few parts to scan
             old, seen = seen[:-1], [staged(visited, "visited"), new]
             discard(*old)
-    raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
+
+
+def shortcuts(edges: DataFrame) -> list[DataFrame]:
+    """Staged edges from each node to those 2, 4, 8, ... hops on, as long as all nodes between have one way on.
+
+    What they lead to is reached anyway, so they change no closure. A table holds at most an edge for each node with one
+    way on, and there are at most log2 of their number; chains that end soon drop out of the next table.
+    """
+    step = staged(edges.groupBy("dependency").agg(F.count(F.lit(1)).alias("n"), F.min("dependent").alias("dependent")).filter("n = 1").select("dependency", "dependent"), "chain")
+    out: list[DataFrame] = []
+    most, hops = step.count(), 1
+    while hops < most:  # chains that bite their tail never end
+        on = step.select(F.col("dependency").alias("dependent"), F.col("dependent").alias("further"))
+        step = staged(step.join(on, "dependent").select("dependency", F.col("further").alias("dependent")), "shortcuts")
+        if step.isEmpty():
+            break
+        out.append(step)
+        hops *= 2
+    return out
 
 
 def _walk(seeds: DataFrame, edges: DataFrame) -> DataFrame:
