@@ -320,59 +320,60 @@ def _allowed() -> tuple[np.ndarray, np.ndarray]:
     return step, begin
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    top = np.where(np.isfinite(top), top, 0)
-    with np.errstate(divide="ignore"):
-        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
 class Training:
-    """A labelled table as padded arrays, and the likelihood of weights on it with its gradient."""
+    """A labelled table as arrays, and the likelihood of weights on it with its gradient."""
 
     def __init__(self, lines: list[tuple[list[str], list[int]]], decay: float = 0.01):
         feats = [_features([shape(w) for w in words]) for words, _ in lines]
         names = sorted({f for line in feats for place in line for f in place})
         self.names, self.decay = {x: k for k, x in enumerate(names)}, decay
-        most, wide = max(map(len, feats)), max(len(place) for line in feats for place in line)
-        self.at = np.full((len(lines), most, wide), len(names))  # one weight beyond the last is always zero
-        self.tags, self.sizes = np.zeros((len(lines), most), int), np.array([len(line) for line in feats])
-        for k, (line, (_, tags)) in enumerate(zip(feats, lines, strict=True)):
-            self.tags[k, : len(tags)] = tags
-            for t, place in enumerate(line):
-                self.at[k, t, : len(place)] = [self.names[f] for f in place]
+        order = sorted(range(len(lines)), key=lambda k: -len(feats[k]))  # lines that have a place t come first
+        most = len(feats[order[0]])
+        self.sizes = np.array([len(feats[k]) for k in order])
+        self.live = np.arange(most) < self.sizes[:, None]
+        self.tags = np.zeros(self.live.shape, int)
+        for row, k in enumerate(order):
+            self.tags[row, : self.sizes[row]] = lines[k][1]
+        places = [[self.names[f] for f in place] for k in order for place in feats[k]]
+        self.at = np.array([f for place in places for f in place])
+        self.starts = np.cumsum([0, *map(len, places[:-1])])
+        owner = np.repeat(np.arange(len(places)), list(map(len, places)))
+        by_name = np.argsort(self.at, kind="stable")
+        self.owner, self.first = owner[by_name], np.searchsorted(self.at[by_name], np.arange(len(names)))
         self.allow_step, self.allow_begin = _allowed()
 
     def likelihood(self, emit: np.ndarray, step: np.ndarray, begin: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Penalised log likelihood of all lines, and its gradient by forward and backward sums."""
-        n, (rows, most, _) = len(TAGS), self.at.shape
-        here = np.arange(rows)
-        score = np.vstack([emit, np.zeros(n)])[self.at].sum(axis=2)
+        """Penalised log likelihood of all lines, and its gradient by forward and backward sums, scaled place by place."""
+        n, (rows, most) = len(TAGS), self.live.shape
+        score = np.zeros((rows, most, n))
+        score[self.live] = np.add.reduceat(emit[self.at], self.starts)
         moves, start = step + self.allow_step, begin + self.allow_begin
-        live = np.arange(most) < self.sizes[:, None]
-        fwd, bwd = np.zeros((rows, most, n)), np.zeros((rows, most, n))
-        fwd[:, 0] = score[:, 0] + start
-        for t in range(1, most):
-            fwd[:, t] = np.where(live[:, t, None], _lse(fwd[:, t - 1, :, None] + moves, 1) + score[:, t], fwd[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            bwd[:, t] = np.where(live[:, t + 1, None], _lse(moves + (score[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
-        total = _lse(fwd[here, self.sizes - 1], 1)
-        own = -np.exp(fwd + bwd - total[:, None, None]) * live[:, :, None]
-        line, place = np.nonzero(live)
-        own[line, place, self.tags[line, place]] += 1
-        flat, at = own.reshape(-1, n), self.at.reshape(-1, self.at.shape[2])
-        grad = np.stack([np.bincount(at.ravel(), np.repeat(flat[:, k], at.shape[1]), len(emit) + 1) for k in range(n)], axis=1)[:-1]
+        top = score.max(axis=2)
+        odds, go = np.exp(score - top[..., None]), np.exp(moves)
+        fwd, bwd, norm = np.zeros((rows, most, n)), np.ones((rows, most, n)), np.ones((rows, most))
         steps = np.zeros((n, n))
-        told = score[line, place, self.tags[line, place]].sum() + start[self.tags[:, 0]].sum()
-        for t in range(1, most):
-            on = live[:, t]
-            both = fwd[on, t - 1, :, None] + moves + (score[on, t] + bwd[on, t])[:, None, :]
-            steps -= np.exp(both - total[on, None, None]).sum(axis=0)
+        told = score[self.live][np.arange(len(self.starts)), self.tags[self.live]].sum() + start[self.tags[:, 0]].sum()
+        many = self.live.sum(axis=0)
+        for t in range(most):
+            on = slice(0, many[t])
+            into = odds[on, t] * (np.exp(start) if t == 0 else fwd[on, t - 1] @ go)
+            norm[on, t] = into.sum(axis=1)
+            fwd[on, t] = into / norm[on, t, None]
+        for t in range(most - 1, 0, -1):
+            on = slice(0, many[t])
+            later = odds[on, t] * bwd[on, t] / norm[on, t, None]
+            bwd[on, t - 1] = later @ go.T
+            steps -= go * (fwd[on, t - 1].T @ later)
             np.add.at(steps, (self.tags[on, t - 1], self.tags[on, t]), 1)
             told += moves[self.tags[on, t - 1], self.tags[on, t]].sum()
+        own = -(fwd * bwd)[self.live]
+        own[np.arange(len(own)), self.tags[self.live]] += 1
+        grad = np.add.reduceat(own[self.owner], self.first)
+        first = -(fwd[:, 0] * bwd[:, 0]).sum(axis=0) + np.bincount(self.tags[:, 0], minlength=n)
+        total = (np.log(norm) + top)[self.live].sum()
         weights = [emit, step, begin]
         penalty = 0.5 * self.decay * sum((w * w).sum() for w in weights)
-        return float(told - total.sum() - penalty), [g - self.decay * w for g, w in zip((grad, steps, own[:, 0].sum(axis=0)), weights, strict=True)]
+        return float(told - total - penalty), [g - self.decay * w for g, w in zip((grad, steps, first), weights, strict=True)]
 
 
 def train(lines: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float = 0.3, decay: float = 0.05) -> Field:
