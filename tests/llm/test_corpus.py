@@ -144,6 +144,59 @@ def test_near_dedup_against_brute_force(spark, monkeypatch, together):
     assert simhash.near_dedup(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shared, radius, together", [(simhash.WIDE_SHARED, simhash.WIDE_RADIUS, simhash.TOGETHER), (30, 512, 500), (0, 40, simhash.TOGETHER)])
+def test_near_dedup_counts_bytes_and_verifies_bits(spark, monkeypatch, shared, radius, together):
+    """The stage's method pair by pair: a common list, enough common bytes, few enough bits, then the cosine."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6)))
+    texts = [*ODD, "one two three", "One  two\nTHREE", "one one two"]
+    for size in (60, 200):
+        for _ in range(8):
+            base = [word() for _ in range(size)]
+            texts += [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in rng.sample(range(size), 5)]
+    hub = [word() for _ in range(80)]
+    texts += [" ".join([*hub[:k], word(), *hub[k + 1 :]]) for k in range(80) for _ in range(2)]
+    hub = "".join(f" {w} " * 3 for w in hub[:20]).split()  # few distinct words, so distances are long
+    texts += [" ".join([*hub, *(word() for _ in range(k))]) for k in (1, 2, 3, 4, 5, 6, 7) for _ in range(6)]
+    prints = [simhash.wide_fingerprint(t, {}) for t in texts]
+    keys = [p[simhash._design()] for p in prints]
+    root, dropped = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if (keys[a] == keys[b]).all(axis=1).any() and shingle_cosine(texts[a], texts[b]) >= 0.8 - 1e-9:
+                differ = int.from_bytes(prints[a].tobytes(), "big") ^ int.from_bytes(prints[b].tobytes(), "big")
+                if sum(x == 0 for x in differ.to_bytes(64, "big")) < shared or differ.bit_count() > radius:
+                    dropped += 1
+                elif root[a] != root[b]:
+                    lo, hi = sorted((root[a], root[b]))
+                    root = [lo if r == hi else r for r in root]
+    kept = [r.doc_id for r in simhash.near_dedup(docs_of(spark, texts), shared=shared, radius=radius).collect()]
+    assert sorted(kept) == sorted({*root})
+    assert (dropped > 100) == ((shared, radius) != (simhash.WIDE_SHARED, simhash.WIDE_RADIUS))
+
+
+def test_near_links_need_close_fingerprints(spark):
+    """Equal sets of shingles alone make no link, neither in a join nor within a task."""
+    rng = np.random.default_rng(2)
+    first = rng.integers(0, 256, 64, np.uint8)
+    flipped = {0: [], 128: range(128), 129: range(129), 56: range(0, 448, 8), 57: range(0, 456, 8)}  # 57 bytes off: 7 in common
+    prints = np.array([np.packbits(np.unpackbits(first) ^ np.isin(np.arange(512), [*at])) for at in flipped.values()])
+    same = np.arange(9)
+    got = simhash.links_between(np.arange(5), np.array([0, 1, 2, 3, 4]), prints, [same] * 5, simhash.WIDE_SHARED, simhash.WIDE_RADIUS, 0.8)
+    nodes = spark.createDataFrame([(k, p.view("<i8").tolist()) for k, p in enumerate(prints)], "node long, fp array<bigint>")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a)], "a long, b long")
+    close = {(r.a, r.b) for r in simhash.close_prints(pairs, nodes, simhash.WIDE_SHARED, simhash.WIDE_RADIUS).collect()}
+    want = set()
+    for a in range(5):
+        for b in range(a):
+            x = np.unpackbits(prints[a] ^ prints[b]).reshape(64, 8)
+            if (x.sum(axis=1) == 0).sum() >= 8 and x.sum() <= 128:
+                want.add((a, b))
+    assert close == want and (1, 0) in want and (3, 0) in want and not {(2, 0), (4, 0)} & want
+    assert {(max(x), min(x)) for x in got} == want
+
+
 def test_stages_leave_odd_columns_and_ids_alone(spark):
     item = " ".join(f"w{k}" for k in range(30))
     texts = [item, "other words " + item, "a b c", "a  b c", None, "", "fox " * 9, "hen " * 9]

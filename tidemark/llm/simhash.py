@@ -16,9 +16,12 @@ Components come from alternating large and small stars, each round staged in the
 
 ``near_dedup``, the stage of the pipeline, finds copies that are further apart than two of 64 bits. There a fingerprint
 has 64 bytes and is taken over the distinct words of a text; the lists are those of ``WIDE_KEYS`` sets of
-``WIDE_BYTES`` positions, and pairs are verified by their texts: the cosine of their sets of five-word shingles,
-which is the similarity that SimHash stands for, has to be ``SIMILAR`` = 0.8 or more. A pair is found if it shares the
-bytes of a set; README has the share of all such pairs that is, against brute force. Of a list, each node is first
+``WIDE_BYTES`` positions. The positional bytes that a pair of a list shares are counted, over all 64 positions; pairs
+below ``WIDE_SHARED`` = 8 are dropped, and the Hamming distance is verified to be ``WIDE_RADIUS`` = 128 of 512 bits at
+most. What is left has an exact check to pass: the cosine of the sets of five-word shingles, which is the similarity that
+SimHash stands for, has to be ``SIMILAR`` = 0.8 or more. A pair that shares 7 bytes stands in a common list once in 200
+times, so the minimum costs next to nothing beside the index. README has the share of all pairs of 0.8 or more
+that is found, against brute force. Of a list, each node is first
 held to the least one; then, in lists that still have several components, nodes outside the largest one to all nodes
 of others, within tasks of at most two parts of ``TOGETHER`` shingles, which give only links between components. So a
 list of copies of one text costs work in proportion to its length, its pairs never become rows, and none is left
@@ -49,6 +52,8 @@ from tidemark.llm.exact_dedup import content_hash
 SEED, SHINGLE, RADIUS, MIN_SHARED = 42, 3, 2, 6
 #: The stage: bytes of a fingerprint, sets of positions and their size, words of a shingle, least cosine.
 WIDE, WIDE_KEYS, WIDE_BYTES, WIDE_SHINGLE, SIMILAR = 64, 80, 4, 5, 0.8
+#: The stage: least number of positional bytes that a pair shares, and most bits in which it differs.
+WIDE_SHARED, WIDE_RADIUS = 8, 128
 #: The stage: shingles of a list that one task compares; longer lists are dealt to pairs of parts.
 TOGETHER = 250_000
 #: Rows up to which a counted table is broadcast.
@@ -184,15 +189,15 @@ def wide_fingerprint(text: str | None, known: dict[bytes, bytes]) -> np.ndarray:
 
 
 def _wide_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest (of the text) and keys (the bytes of each set of positions) of every row."""
+    """id, digest (of the text), fp (the fingerprint as eight longs) and keys (the bytes of each set of positions) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), content_hash(whole(text_col)).alias("digest"), F.col(text_col).alias("text"))
     sets, known = _design(), {}
 
     def run(cols):
-        keys = [np.ascontiguousarray(wide_fingerprint(t, known)[sets]).view("<i4").ravel() for t in cols[2]]
-        return [cols[0], cols[1], keys]
+        prints = [wide_fingerprint(t, known) for t in cols[2]]
+        return [cols[0], cols[1], [p.view("<i8") for p in prints], [np.ascontiguousarray(p[sets]).view("<i4").ravel() for p in prints]]
 
-    return map_batches(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, digest binary, keys array<int>")
+    return map_batches(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, digest binary, fp array<bigint>, keys array<int>")
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -207,6 +212,24 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame
     return staged(made.select("node", F.array_distinct(F.when(n > 0, runs).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))).alias("sh")), "shingle-sets")
 
 
+def _unlike(x: Column) -> Column:
+    """How many of the eight bytes are not zero."""
+    for by, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(by))).bitwiseAND(F.lit(mask))
+    return F.bit_count(x)
+
+
+def close_prints(pairs: DataFrame, prints: DataFrame, shared: int, radius: int) -> DataFrame:
+    """The pairs a, b that share at least ``shared`` positional bytes and differ in ``radius`` bits at most."""
+    a, b = prints.select(F.col("node").alias("a"), F.col("fp").alias("a_fp")), prints.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"))
+
+    def total(of) -> Column:
+        return F.aggregate(F.zip_with("a_fp", "b_fp", lambda x, y: of(x.bitwiseXOR(y))), F.lit(0), lambda have, x: have + x)
+
+    common = pairs.join(a, "a").join(b, "b").filter(WIDE - total(_unlike) >= shared)
+    return common.filter(total(F.bit_count) <= radius).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs a, b whose sets of shingles have a cosine of at least ``least``."""
     a, b = sets.select(F.col("node").alias("a"), F.col("sh").alias("a_sh")), sets.select(F.col("node").alias("b"), F.col("sh").alias("b_sh"))
@@ -214,35 +237,40 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(both >= least * F.sqrt(F.size("a_sh") * F.size("b_sh").cast("double")) - 1e-9).select("a", "b")
 
 
-def similar_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, least: float) -> DataFrame:
-    """node, root for the nodes (node, digest, keys) that have a similar one."""
+def similar_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, least: float, shared_bytes: int = WIDE_SHARED, radius: int = WIDE_RADIUS) -> DataFrame:
+    """node, root for the nodes (node, digest, fp, keys) that have a similar one."""
+    prints = nodes.select("node", "fp")
     postings = nodes.select("node", F.posexplode("keys").alias("key", "val"))
     lists = staged(postings.groupBy("key", "val").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).filter("n > 1").select("key", "val", "center"), "lists")
     shared = staged(postings.join(_small(lists), ["key", "val"]), "postings")
     sets = _shingle_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "digest"), text_col)
 
     # Each node against the least one of its lists.
-    stars = shared.filter("node <> center").groupBy(F.col("node").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("common"))
-    near = staged(_similar(stars.select("a", "b"), sets, least), "near")
+    stars = shared.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    near = staged(_similar(close_prints(stars, prints, shared_bytes, radius), sets, least), "near")
     roots = components(near)
 
     # In lists of several components, nodes outside the largest one against all nodes of others.
     placed = staged(shared.join(roots, "node", "left").select("key", "val", "node", F.coalesce("root", "node").alias("root")), "placed")
     open_ = placed.groupBy("key", "val").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 and lo <> hi").select("key", "val")
-    rows = staged(placed.join(open_, ["key", "val"]).join(sets, "node"), "open")
+    rows = staged(placed.join(open_, ["key", "val"]).join(sets.join(prints, "node"), "node"), "open")
     sizes = rows.groupBy("key", "val").agg(F.ceil(F.sum(F.size("sh")) / TOGETHER).cast("int").alias("parts"))
     dealt = rows.join(sizes, ["key", "val"]).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     alone = dealt.filter("parts = 1").withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
     beside = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     split = dealt.filter("parts > 1").select("*", beside.alias("other")).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other")
-    groups = alone.unionByName(split).groupBy("key", "val", "lo", "hi").agg(F.collect_list(F.struct("node", "root", "sh")).alias("members"))
+    groups = alone.unionByName(split).groupBy("key", "val", "lo", "hi").agg(F.collect_list(F.struct("node", "root", "fp", "sh")).alias("members"))
     # Python takes one group at a time: the arrays of a batch are bounded by its groups, and these by TOGETHER.
-    more = staged(groups.select("members").mapInArrow(_links_of_groups(least), "a long, b long").distinct(), "more")
+    more = staged(groups.select("members").mapInArrow(_links_of_groups(shared_bytes, radius, least), "a long, b long").distinct(), "more")
     return components(near.unionByName(more))
 
 
-def links_between(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links with a cosine of at least ``least`` between nodes of different components, one for each node and component."""
+def links_between(nodes: np.ndarray, roots: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], shared: int, radius: int, least: float) -> list[tuple[int, int]]:
+    """Links between nodes of different components, one for each node and component.
+
+    The fingerprints (rows of bytes) share ``shared`` positional bytes or more and differ in ``radius`` bits at most,
+    and the cosine of the sets is at least ``least``.
+    """
     every, largest = np.unique(roots, return_counts=True)
     main = every[largest.argmax()]
     sizes = np.array([len(x) for x in sets])
@@ -251,31 +279,39 @@ def links_between(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray],
     owner, shingle = owner[order], shingle[order]
     out = {}
     for k in np.flatnonzero(roots != main):
+        others = np.flatnonzero(roots != roots[k])
+        unlike = prints[others] ^ prints[k]
+        common = (unlike == 0).sum(axis=1) >= shared
+        others, unlike = others[common], unlike[common]
+        others = others[np.bitwise_count(unlike).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(others):
+            continue
         lo, hi = np.searchsorted(shingle, sets[k], "left"), np.searchsorted(shingle, sets[k], "right")
         wide = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
         both = np.bincount(owner[at], minlength=len(sets))
-        for x in np.flatnonzero((both >= least * np.sqrt(sizes * float(sizes[k])) - 1e-9) & (roots != roots[k])):
+        for x in others[both[others] >= least * np.sqrt(sizes[others] * float(sizes[k])) - 1e-9]:
             out.setdefault((nodes[k], roots[x]), (int(nodes[k]), int(nodes[x])))
     return [*out.values()]
 
 
-def _links_of_groups(least: float):
+def _links_of_groups(shared: int, radius: int, least: float):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             for members in batch.column(0):  # one list at a time
                 flat = members.values
-                sets = flat.field("sh")
+                sets, prints = flat.field("sh"), flat.field("fp").flatten().to_numpy()
                 ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
-                found = links_between(flat.field("node").to_numpy(), flat.field("root").to_numpy(), [values[a:b] for a, b in zip(ends, ends[1:])], least)
+                prints = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, WIDE)
+                found = links_between(flat.field("node").to_numpy(), flat.field("root").to_numpy(), prints, [values[a:b] for a, b in zip(ends, ends[1:])], shared, radius, least)
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, shared: int = WIDE_SHARED, radius: int = WIDE_RADIUS) -> DataFrame:
     """One row of each component, that with its smallest id, with all its columns.
 
     Rows are named by their id and the digest of their text, so rows without an id, or with different
@@ -284,8 +320,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest, keep, mark = unused(docs, "digest"), unused(docs, "keep"), unused(docs, "mark")
     rows = staged(_wide_keys(docs, id_col, text_col), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("least")
-    nodes = staged(rows.groupBy("digest").agg(least, F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = similar_nodes(docs, nodes.select("node", "digest", "keys"), text_col, similar)
+    nodes = staged(rows.groupBy("digest").agg(least, F.first("fp").alias("fp"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = similar_nodes(docs, nodes.select("node", "digest", "fp", "keys"), text_col, similar, shared, radius)
     member = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     first = member.groupBy("root").agg(F.min("least").alias("least"))
     stay = staged(first.select(F.col("least")["id"].alias(keep), F.col("least")["digest"].alias(mark)), "stay")
